@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality_rules, secret_scan, simhash_dedup, token_counts, toxicity
+from . import chat_format, decontaminate, html_extract, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, toxicity
 from .frames import pick, table
 
 #: A text that holds marks of common templates.
@@ -42,6 +42,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents")).drop("ratio", "chunk_share")
 
@@ -60,6 +64,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_chat_format, op2_secret_scan, op3_token_counts, op4_decontaminate, op6_quality_rules, op7_simhash_dedup, op8_toxicity, op9_packing]
+    named = [op1_chat_format, op2_secret_scan, op3_token_counts, op4_decontaminate, op5_html_extract, op6_quality_rules, op7_simhash_dedup, op8_toxicity, op9_packing, op10_suffix_dedup]
     return {f.__name__: f for f in named} | {"pipeline": pipeline}
 
 

@@ -50,6 +50,8 @@ _U = np.uint64
 _BASE, _BASE2, _MIX = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xD6E8FEB86659FD93)
 #: Bytes of text worked on at once, and positions gathered before they are settled.
 _PIECE, _BLOCK = 1 << 20, 1 << 20
+#: Surroundings hashed at once, few enough for a processor's cache.
+_ROWS = 1 << 12
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -230,6 +232,12 @@ def _surroundings(data: bytes, at: np.ndarray, layout: _Layout) -> tuple[np.ndar
     return sliding_window_view(padded, layout.width)[at], np.minimum(at, layout.reach), np.minimum(len(data) - at, layout.threshold)
 
 
+def _ranked(layout: _Layout, around: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Names of the surroundings."""
+    rank = np.concatenate([around[i : i + _ROWS].astype(np.uint64) @ layout.weights for i in range(0, len(around), _ROWS)] or [np.zeros(0, np.uint64)])
+    return _mixed(rank ^ (before * 256 + after).astype(np.uint64) * _BASE2)
+
+
 def _strings(layout: _Layout, around: np.ndarray, before: np.ndarray, after: np.ndarray, name: np.ndarray) -> tuple:
     """(row, offset, key, key2) of every string of threshold length through each position."""
     offset = np.arange(layout.reach + 1)
@@ -284,29 +292,26 @@ def _rank_surroundings(layout: _Layout, filters):
             around, before, after = (np.concatenate(p) for p in zip(*parts))
             del parts
             doc, tag = ids[of], tags[of]
-            hot = _probe(known, 1, layout, names)
-            done = []
-            # Common grams: their strings, one row per name in its smallest document here.
-            some = np.flatnonzero(hot)
-            for low in range(0, len(some), 1 << 15):
-                pick = some[low : low + (1 << 15)]
+            # Of each rank, the rows in its smallest document here go on; the others are settled.
+            rank = _ranked(layout, around, before, after)
+            order, beaten = _settled(layout, names, rank, doc)
+            hit, left = order[beaten], order[~beaten]
+            done = [(doc[hit], tag[hit], at[hit] - before[hit], at[hit] + after[hit])]
+            hot = _probe(known, 1, layout, names[left])
+            # Of common grams, their strings, one row per name in its smallest document here.
+            some = left[hot]
+            for low in range(0, len(some), _ROWS):
+                pick = some[low : low + _ROWS]
                 row, off, key, key2 = _strings(layout, around[pick], before[pick], after[pick], names[pick])
                 row = pick[row]
                 start = at[row] - layout.reach + off
                 order, beaten = _settled(layout, key, key2, doc[row])
                 done.append((doc[row][order][beaten], tag[row][order][beaten], start[order][beaten], start[order][beaten] + layout.threshold))
-                left = order[~beaten]
-                out = layout.deal(key[left], 2, key=key[left], key2=key2[left], doc=doc[row][left], tag=tag[row][left], start=start[left].astype(np.int64))
+                kept = order[~beaten]
+                out = layout.deal(key[kept], 2, key=key[kept], key2=key2[kept], doc=doc[row][kept], tag=tag[row][kept], start=start[kept].astype(np.int64))
                 if out is not None:
                     yield out
-            # The others: their surroundings.
-            some = np.flatnonzero(~hot)
-            rank = np.concatenate([around[some[i : i + 65536]].astype(np.uint64) @ layout.weights for i in range(0, len(some), 65536)] or [np.zeros(0, np.uint64)])
-            rank = _mixed(rank ^ (before[some] * 256 + after[some]).astype(np.uint64) * _BASE2)
-            order, beaten = _settled(layout, names[some], rank, doc[some])
-            out_of = some[order[beaten]]
-            done.append((doc[out_of], tag[out_of], at[out_of] - before[out_of], at[out_of] + after[out_of]))
-            left = some[order[~beaten]]
+            left = left[~hot]
             shape = np.stack([before[left], after[left]], axis=1).astype(np.uint8)
             out = layout.deal(names[left], 0, name=names[left], doc=doc[left], tag=tag[left], at=at[left].astype(np.int64), shape=shape, around=around[left])
             if out is not None:
@@ -322,7 +327,7 @@ def _rank_surroundings(layout: _Layout, filters):
 def _compare(layout: _Layout, name, doc, tag, at, shape, around) -> list[tuple]:
     """Repeats among sampled positions of one bucket, sorted by name; whole groups of a name."""
     before, after = shape[:, 0].astype(np.int64), shape[:, 1].astype(np.int64)
-    rank = _mixed(around.astype(np.uint64) @ layout.weights ^ (before * 256 + after).astype(np.uint64) * _BASE2)
+    rank = _ranked(layout, around, before, after)
     order = np.lexsort((doc, rank, name))
     name, doc, tag, at, before, after, rank, around = (x[order] for x in (name, doc, tag, at, before, after, rank, around))
     new_rank, new_name = _first(name, rank), _first(name)
@@ -353,7 +358,7 @@ def _compare(layout: _Layout, name, doc, tag, at, shape, around) -> list[tuple]:
     return done
 
 
-def _rank_strings(layout: _Layout, rows_at_once: int = 1 << 15):
+def _rank_strings(layout: _Layout, rows_at_once: int = _ROWS):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         kind = rows["kind"].to_numpy()
         own = lambda k: rows.filter(pa.array(kind == k))
@@ -385,7 +390,7 @@ def _rank_strings(layout: _Layout, rows_at_once: int = 1 << 15):
     return run
 
 
-def removed_spans(docs: DataFrame, threshold: int = 50, hot: int = 4096, filter_bits: int = 1 << 29) -> DataFrame:
+def removed_spans(docs: DataFrame, threshold: int = 50, hot: int = 32768, filter_bits: int = 1 << 29) -> DataFrame:
     """(doc, tag, span): removed intervals, start << 32 | end in bytes, some overlapping; tag is from the text."""
     spark = docs.sparkSession
     rows = documents_of(docs).select("doc_id", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), "text")
@@ -410,7 +415,7 @@ def _assembled(segments: pa.Table, buckets: int) -> tuple:
     return tuple(out)
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 50, hot: int = 4096, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = 50, hot: int = 32768, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept, the remaining bytes."""
     spans = removed_spans(docs, threshold, hot).groupBy("doc", "tag").agg(F.collect_list("span").alias("spans"))
     rows = documents_of(docs).withColumn("own", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))

@@ -36,10 +36,9 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, _PARTS), "")
 
 
-def _grams(words: str, size: int | Column) -> Column:
-    """Hashes of all runs of that many words."""
-    size = F.lit(size) if isinstance(size, int) else size
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
+def _grams(words: str, size: int) -> Column:
+    """Hashes of all runs of that many words; single words are taken out, since slice() outside generated code copies the array."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
     return F.when(F.size(words) >= size, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -54,25 +53,37 @@ def item_windows(items: DataFrame, window: int, gram: int) -> DataFrame:
     return hashed.select("words", "size", "items", F.array_min("g").alias("fp"), (F.array_position("g", F.array_min("g")) - 1).cast("int").alias("at"))
 
 
-def _fingerprinted(docs: DataFrame, window: int, gram: int, short: list[int]) -> DataFrame:
-    """Documents with words, hashes by size, and fingerprints as (size, fp), least hash of each window once."""
-    base = docs.select("doc_id", "text_hash", words_of(F.col("text")).alias("w"))
-    base = base.select("*", _grams("w", gram).alias(f"g{window}"), *[_grams("w", n).alias(f"g{n}") for n in short])
+def _spread(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """One row per document with fp null, and one per winnowed gram: (doc_id, text_hash, w, fp, p: its place from 1).
+
+    Of each window the leftmost least gram is kept, once: the window's least is
+    a new one if it has just entered, or if the gram that left was the least
+    before. Apart from the hashes themselves this runs in generated code, and a
+    document's words are copied for rows that meet an item alone.
+    """
     span = window - gram + 1
-    starts = F.sequence(F.lit(1), F.size(f"g{window}") - span + 1)
-    least = F.when(F.size(f"g{window}") >= span, F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(f"g{window}", i, span))))).otherwise(F.array().cast("array<bigint>"))
-    entry = lambda n: lambda h: F.struct(F.lit(n).alias("size"), h.alias("fp"))
-    each = [F.transform(least, entry(window)), *[F.transform(F.array_distinct(f"g{n}"), entry(n)) for n in short]]
-    return base.withColumn("fps", F.concat(*each))
+    hashed = rows.select("doc_id", "text_hash", words_of(F.col("text")).alias("w")).select("*", _grams("w", gram).alias("g"))
+    each = hashed.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("g") - span + 1, F.lit(0)))).alias("i"))
+    part = F.slice("g", F.greatest(F.col("i"), F.lit(1)), span)
+    least = each.withColumn("m", F.array_min(part)).withColumn("p", F.col("i") + F.array_position(part, F.col("m")).cast("int") - 1)
+    new = (F.col("i") <= 1) | (F.col("p") == F.col("i") + (span - 1)) | (F.get("g", F.col("i") - 2) <= F.col("m"))
+    return least.where(new).select("doc_id", "text_hash", "w", F.when(F.col("i") > 0, F.col("m")).alias("fp"), "p")
 
 
-def _extended(rows: DataFrame, window: int, short: list[int]) -> Column:
-    """Starts, from 1, at which the joined window stands in the document."""
-    hashes = F.col(f"g{window}")
-    for n in short:
-        hashes = F.when(F.col("size") == n, F.col(f"g{n}")).otherwise(hashes)
-    places = F.filter(F.transform(hashes, lambda h, i: F.when(h == F.col("fp"), i + 1 - F.col("at"))), lambda s: s.isNotNull() & (s >= 1))
-    return F.filter(places, lambda s: F.slice("w", s, F.col("size")) == F.col("words"))
+def _spread_short(rows: DataFrame, size: int) -> DataFrame:
+    """One row per run of that many words, for items shorter than a window."""
+    worded = rows.select("doc_id", "text_hash", words_of(F.col("text")).alias("w")).where(F.size("w") >= size)
+    each = worded.select("*", F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("p"))
+    return each.select("doc_id", "text_hash", "w", F.xxhash64(F.slice("w", F.col("p"), size)).alias("fp"), "p")
+
+
+def _met(rows: DataFrame, windows: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows whose whole window stands in the document, with its span of words; with a left join, documents too."""
+    start = F.col("p") - F.col("at")
+    same = F.when(start >= 1, F.slice("w", start, F.col("size")) == F.col("words"))
+    joined = rows.join(windows, "fp", how).where(F.col("fp").isNull() | same)
+    span = F.when(F.col("fp").isNotNull(), F.struct(start.alias("a"), (start + F.col("size")).alias("b")))
+    return joined.select("doc_id", "text_hash", F.when(F.col("fp").isNull(), F.size("w")).alias("n"), span.alias("span"), "items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
@@ -82,33 +93,32 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
     short = sorted(r["size"] for r in windows.where(F.col("size") < window).select("size").distinct().collect())  # fewer than window values
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    marked = _fingerprinted(rows, window, gram, short)
 
-    # One entry without a fingerprint stands for the document itself.
-    itself = F.array(F.struct(F.lit(0).alias("size"), F.lit(None).cast("long").alias("fp")))
-    each = F.explode(F.concat("fps", itself)).alias("f")
+    def of_size(n: int) -> DataFrame:
+        own = windows.where(F.col("size") == n)
+        return F.broadcast(own) if small else own
+
+    spread = _spread(rows, window, gram)
     if small:
-        spread = marked.select("doc_id", "text_hash", "w", *[f"g{n}" for n in (window, *short)], each).select("*", "f.size", "f.fp").drop("f")
-        joined = spread.join(F.broadcast(windows), ["size", "fp"], "left").where("fp IS NULL OR words IS NOT NULL")
-        hits = joined.select("doc_id", "text_hash", "size", "items", F.when(F.col("fp").isNull(), F.size("w")).alias("n"), F.when(F.col("fp").isNotNull(), _extended(joined, window, short)).alias("starts"))
+        hits = _met(spread, of_size(window), "left")
+        looked = rows
     else:
-        slim = marked.select("doc_id", "text_hash", F.size("w").alias("n"), each).select("doc_id", "text_hash", "n", "f.size", "f.fp")
-        every = slim.where("fp IS NULL").select("doc_id", "text_hash", F.lit(0).alias("size"), F.lit(None).cast("array<string>").alias("items"), "n", F.lit(None).cast("array<int>").alias("starts"))
-        met = slim.where("fp IS NOT NULL").join(windows.select("size", "fp").distinct(), ["size", "fp"]).select("doc_id", "text_hash", "size", "fp").distinct()
-        hit_docs = met.select("doc_id", "text_hash").distinct()
-        same = rows["doc_id"].eqNullSafe(hit_docs["doc_id"]) & (rows["text_hash"] == hit_docs["text_hash"])
-        again = _fingerprinted(rows.join(hit_docs, same, "left_semi").distinct(), window, gram, short)
-        again = again.withColumn("f", F.explode("fps")).select("doc_id", "text_hash", "w", *[f"g{n}" for n in (window, *short)], "f.size", "f.fp")
-        joined = again.join(windows, ["size", "fp"])
-        hits = every.union(joined.select("doc_id", "text_hash", "size", "items", F.lit(None).cast("int").alias("n"), _extended(joined, window, short).alias("starts")))
-
-    hits = hits.where("n IS NOT NULL OR size(starts) > 0")
-    spans = F.transform("starts", lambda s: F.struct(s.alias("a"), (s + F.col("size")).alias("b")))
+        slim = spread.select("doc_id", "text_hash", "fp", F.when(F.col("fp").isNull(), F.size("w")).alias("n"))
+        for n in short:
+            slim = slim.union(_spread_short(rows, n).select("doc_id", "text_hash", "fp", F.lit(None).cast("int").alias("n")))
+        every = slim.where("fp IS NULL").select("doc_id", "text_hash", "n", F.lit(None).cast("struct<a:int,b:int>").alias("span"), F.lit(None).cast("array<string>").alias("items"))
+        found = slim.where("fp IS NOT NULL").distinct().join(windows.select("fp").distinct(), "fp", "left_semi").select("doc_id", "text_hash").distinct()
+        found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+        looked = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left_semi").distinct()
+        hits = every.union(_met(_spread(looked, window, gram).where("fp IS NOT NULL"), of_size(window)))
+    for n in short:
+        hits = hits.union(_met(_spread_short(looked, n), of_size(n)))
+
     by_doc = hits.groupBy("doc_id", "text_hash").agg(
         F.max("n").alias("n_words"),
         F.count("n").alias("copies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(spans)))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("starts").isNotNull(), F.col("items")))))).alias("items"),
+        F.array_sort(F.collect_set("span")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     # Spans sorted by start: each adds the words beyond the furthest end so far.
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))

@@ -130,7 +130,7 @@ class _Layout:
         order = np.argsort(of, kind="stable")
         cuts = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
         ends = np.r_[cuts[1:], len(order)]
-        packed = [[np.ascontiguousarray(c[order][a:b]).tobytes() for a, b in zip(cuts, ends)] for c in columns.values()]
+        packed = [[dealt[a:b].tobytes() for a, b in zip(cuts, ends)] for dealt in (c[order] for c in columns.values())]
         packed += [[b""] * len(cuts)] * (6 - len(packed))
         return pa.RecordBatch.from_arrays([pa.array(of[order][cuts], pa.int64()), pa.array([kind] * len(cuts), pa.int32()), *[pa.array(p, pa.binary()) for p in packed]], names=["bucket", "kind", *"abcdef"])
 

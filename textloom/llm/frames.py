@@ -33,6 +33,13 @@ def documents_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return out.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Views of the batches of at most so many rows, so that only few texts are copied at once."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructType) -> DataFrame:
     """Run fn over Arrow batches: a dict of Python lists in, a dict of lists or arrays out."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -41,7 +48,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.Struc
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 

@@ -41,10 +41,11 @@ class WordIds(dict):
     """Little-endian ids of a run without white space, kept for runs seen before.
 
     The vocabulary never merges across white space, so ids of a text are those
-    of its runs in order. At most ``most`` runs are kept.
+    of its runs in order. Where ``most`` runs are kept, all are forgotten and
+    frequent ones soon back.
     """
 
-    def __init__(self, name: str, most: int = 600_000):
+    def __init__(self, name: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocab_path(name))
@@ -53,13 +54,17 @@ class WordIds(dict):
 
     def __missing__(self, run: str) -> bytes:
         found = b"".join([self.parts.get(p) or self.part(p) for p in _PART.findall(run.lower())])
-        if len(self) < self.most:
+        if len(self) >= self.most:
+            self.clear()
+        if len(run) < 64:
             self[run] = found
         return found
 
     def part(self, text: str) -> bytes:
         ids = np.array([t.id for t in self.model.tokenize(spelled(text.encode()))], dtype="<u4").tobytes()
-        if len(self.parts) < self.most and len(text) < 64:
+        if len(self.parts) >= self.most:
+            self.parts.clear()
+        if len(text) < 64:
             self.parts[text] = ids
         return ids
 

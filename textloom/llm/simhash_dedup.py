@@ -18,6 +18,7 @@ table gives no rows; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -82,11 +83,16 @@ def links(fps: DataFrame, bucket: int = 48) -> DataFrame:
     return small.union(_pairs(_fine_variants(crowded), "mask", "key"))
 
 
-def group(docs: DataFrame, bucket: int = 48) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach)."""
+def group(docs: DataFrame, bucket: int = 48, task_fps: int = 16_384) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach).
+
+    Distinct fingerprints are few bytes but 64 variants each, so they are dealt
+    out ``task_fps`` to a task before that.
+    """
     fps = stored(fingerprints(docs), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), bucket), "a", "b").withColumnsRenamed({"node": "fp"})
+    tasks = max(1, math.ceil(nodes.count() / task_fps))
+    roots = components(links(nodes.select("fp").repartition(tasks, "fp"), bucket), "a", "b").withColumnsRenamed({"node": "fp"})
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     found = placed.join(best, "root").select("fp", "component_id")

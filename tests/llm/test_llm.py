@@ -345,6 +345,28 @@ def test_toxicity(spark):
     assert {r["h"] for r in d.select(toxicity.held_out(F.col("doc_id")).alias("h"), "doc_id").where("h").collect()} == {True}
 
 
+def test_toxicity_long_words(monkeypatch):
+    """A word without white space counts whole, in training and in scores, whatever the blocks."""
+    rng, buckets = random.Random(3), 1 << 15
+    quiet = "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(400))
+    word = quiet[:200] + "hateful" * 40 + quiet[200:]
+    raw = b"<%b>" % word.encode()
+    want = [zlib.crc32(raw[i : i + n]) % buckets for n in (3, 4, 5) for i in range(len(raw) - n + 1)]
+    numbers = np.random.default_rng(5).normal(size=buckets).astype(np.float32)
+    for block in (7, 1 << 16):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        assert Counter(int(b) for g in toxicity.gram_blocks(word.encode(), buckets) for b in g) == Counter(want)
+        found, weight = toxicity.bag(f"{word} {word}", buckets)
+        assert dict(zip(found.tolist(), weight.tolist())) == pytest.approx({b: n / len(want) for b, n in Counter(want).items()}, rel=1e-5)
+        assert toxicity._Scorer(toxicity.Model(numbers, 0.0))[word] == pytest.approx(float(numbers[want].astype(float).mean()), rel=1e-6)
+    for size in (1, 2, 5, 130, 131, 132, 500):
+        assert toxicity.n_grams(size) == len(toxicity.grams(b"x" * size, buckets))
+    bad = np.zeros(buckets, np.float32)
+    bad[toxicity.grams(b"hateful" * 3, buckets)] = 40
+    score = toxicity._Scorer(toxicity.Model(bad, -3.0)).score
+    assert score(word) > 0.3 > score(quiet + quiet)
+
+
 def test_toxicity_without_labels(spark, odd):
     model = toxicity.fit(odd, spark.createDataFrame([(1, None), (None, 1), (4, 7)], "doc_id long, toxic int"))
     assert {r["predicted"] for r in toxicity.score(odd, model).collect()} == {0}

@@ -9,7 +9,9 @@ its buckets', and scoring a text is one lookup per word.
 
 Training takes at most ``per_class`` labelled rows of each class, the least by
 hash of doc_id; that bound and ``buckets`` bound the driver's memory, and the
-prior of the labelled rows is put back afterwards. Every text is scored whole.
+prior of the labelled rows is put back afterwards. Every text is scored whole;
+the n-grams of a long word (a text without white space is one) are summed in
+blocks, which bound its memory.
 
 Defined results: null and wordless texts score as the model's bias alone;
 labels that are null or not 0 or 1 are ignored, and of several labels of a document
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,8 +35,11 @@ from pyspark.sql import functions as F
 
 from .frames import documents_of, map_batches, pick, sliced
 
-SHORTEST, LONGEST, MOST_GRAMS = 3, 5, 400
+SHORTEST, LONGEST = 3, 5
+#: Words of more bytes than LONG are read in blocks of BLOCK places; a bag of more than MOST_GRAMS is summed up in between.
+LONG, BLOCK, MOST_GRAMS = 133, 1 << 16, 1 << 18
 _STRIP = ".,;:!?|()[]\"'"
+_CRC = np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], dtype=np.uint32)
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
@@ -41,25 +47,56 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 
 
 def grams(word: bytes, buckets: int) -> list[int]:
-    """Buckets of the n-grams of a stripped word's bytes; of a very long word, those of its first and last parts."""
+    """Buckets of the n-grams of a stripped word's bytes."""
     word = b"<%b>" % word
-    if len(word) * 3 > MOST_GRAMS:
-        word = word[: MOST_GRAMS // 6] + word[-MOST_GRAMS // 6 :]
     crc, size = zlib.crc32, len(word)
     return [crc(word[i : i + n]) % buckets for n in range(SHORTEST, min(LONGEST, size) + 1) for i in range(size - n + 1)] or [crc(word) % buckets]
 
 
+def gram_blocks(word: bytes, buckets: int) -> Iterator[np.ndarray]:
+    """The buckets of grams() in arrays of at most BLOCK; the checksums of all places of a block advance together."""
+    raw = np.frombuffer(b"<%b>" % word, np.uint8)
+    for low in range(0, len(raw), BLOCK):
+        part = raw[low : low + BLOCK + LONGEST - 1]
+        state = np.full(min(BLOCK, len(part)), 0xFFFFFFFF, np.uint32)
+        for n in range(min(LONGEST, len(part))):
+            state = state[: len(part) - n]
+            state = _CRC[(state ^ part[n : n + len(state)]) & 0xFF] ^ (state >> 8)
+            if n + 1 >= SHORTEST:
+                yield ((state ^ 0xFFFFFFFF) % buckets).astype(np.int32)
+
+
+def n_grams(size: int) -> int:
+    """How many n-grams a word of so many bytes has, its marks not counted in."""
+    return sum(max(size + 2 - n + 1, 0) for n in range(SHORTEST, LONGEST + 1)) or 1
+
+
 def bag(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, weight): the mean over words of the mean over their n-grams."""
     counts: dict[str, int] = {}
     words = text.lower().split()
     for w in words:
         counts[w] = counts.get(w, 0) + 1
-    at, weight = [], []
+    at, weight, total = [], [], None
     for w, n in counts.items():
-        g = grams(w.strip(_STRIP).encode(), buckets)
-        at += g
-        weight += [n / (len(g) * len(words))] * len(g)
+        word = w.strip(_STRIP).encode()
+        if len(word) + 2 <= LONG:
+            g = grams(word, buckets)
+            at += g
+            weight += [n / (len(g) * len(words))] * len(g)
+        else:
+            total = np.zeros(buckets) if total is None else total
+            share = n / (n_grams(len(word)) * len(words))
+            for g in gram_blocks(word, buckets):
+                np.add.at(total, g, share)
+        if len(at) > MOST_GRAMS:
+            total = np.zeros(buckets) if total is None else total
+            total += np.bincount(at, weights=weight, minlength=buckets)
+            at, weight = [], []
+    if total is not None:
+        total += np.bincount(np.array(at, dtype=np.int32), weights=weight, minlength=buckets)
+        found = np.flatnonzero(total).astype(np.int32)
+        return found, total[found].astype(np.float32)
     if not at:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     found, where = np.unique(np.array(at, dtype=np.int32), return_inverse=True)
@@ -142,14 +179,18 @@ class _Scorer(dict):
     """Each word's number, kept for words seen before; where ``most`` are kept, all are forgotten and frequent ones soon back."""
 
     def __init__(self, model: Model, most: int = 250_000):
-        self.numbers, self.bias, self.most, self.parts = model.numbers.tolist(), model.bias, most, {}
+        self.array, self.numbers, self.bias, self.most, self.parts = model.numbers, model.numbers.tolist(), model.bias, most, {}
 
     def __missing__(self, run: str) -> float:
         word = run.strip(_STRIP)
         number = self.parts.get(word)
         if number is None:
-            g = grams(word.encode(), len(self.numbers))
-            number = sum([self.numbers[i] for i in g]) / len(g)
+            raw = word.encode()
+            if len(raw) + 2 <= LONG:
+                g = grams(raw, len(self.numbers))
+                number = sum([self.numbers[i] for i in g]) / len(g)
+            else:
+                number = sum(float(self.array[g].sum(dtype=np.float64)) for g in gram_blocks(raw, len(self.array))) / n_grams(len(raw))
             if len(self.parts) >= self.most:
                 self.parts.clear()
             if len(word) < 64:

@@ -83,6 +83,34 @@ def test_secret_battery():
         assert [s for s in secret_scan.spans_of(plain)[1] if s[1] == "random"] == []
 
 
+def test_secret_parts():
+    """Keys after an equals sign, in paths, and beside base spans are tested by themselves."""
+    rng = random.Random(8)
+    plain = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    forms = {
+        "client_key={}": plain,
+        "a?sig={}&x=1": plain + "-_",
+        "AWS_KEY={}== end": plain + "+/",
+        "/some-page/{}": plain,
+        "see https://host/some-page/{}/more+of": plain,
+        "/0123456789abcdef/{}": plain,
+        "one-{}": plain + "+/",
+    }
+    for form, alphabet in forms.items():
+        found = 0
+        for _ in range(50):
+            key = "x7" + "".join(rng.choices(alphabet, k=46)) + "Q"
+            text = form.format(key)
+            at, end = text.index(key), text.index(key) + len(key)
+            base, spans = secret_scan.spans_of(text)
+            added = [s for s in spans if s not in base]
+            assert all(a[2] <= b[0] for a, b in zip(added, added[1:])) and not any(a < y and x < b for a, _, b in added for x, _, y in base)
+            found += any(a <= at and b >= end for a, _, b in added) and key not in secret_scan.redact_text(text)
+        assert found >= 40, (form, found)
+    for text in ("/some-page/the-other_page-of-this/site_of-many+words", "name=value_of_some_setting_that_is_long", "/0123456789abcdef/some-page/and-another_page"):
+        assert [s for s in secret_scan.spans_of(text)[1] if s[1] == "random"] == []
+
+
 def test_redact(spark):
     secret = "api_key = 'abcdEFGH1234ijkl' and 0123456789abcdef0123 end"
     assert secret_scan.redact_text(secret) == "api_key = '[secret]' and [secret] end"

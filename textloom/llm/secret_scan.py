@@ -1,7 +1,11 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on other long tokens.
 
 The patterns give the base spans, which always stay. Every other run of 20 or
-more characters of a text encoding is tested as follows.
+more characters of a text encoding is tested as follows. An equals sign ends a run.
+What base spans leave of a run is tested by itself; where it was cut so, or no
+single encoding holds it, it's also split at +/, at -_ and at both, every part of
+20 or more characters is tested, and of overlapping discoveries the one of most
+evidence stays.
 
 * Its encoding is inferred: the smallest alphabet that holds its characters.
 * Three tests ask whether it could be uniform over that alphabet: chi-squared
@@ -26,6 +30,7 @@ columns, whatever their names, are ignored. Places are code points, end exclusiv
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -39,7 +44,10 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+LEAST = 20
+#: What splits a run that no single encoding holds: the signs of base64, of base64url, and both.
+SPLITS = tuple(re.compile(rf"[^{signs}]{{{LEAST},}}") for signs in ("+/", "_-", "+/_-"))
 _KEYWORDS = ("passw", "secret", "token", "api")
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -81,6 +89,27 @@ def encoding(s: str) -> tuple[str, dict[str, int]] | None:
     return next(((n, a) for n, a in ALPHABETS if held <= a.keys()), None)
 
 
+def rests(start: int, end: int, spans: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """What spans, sorted by start, leave of start to end."""
+    found = []
+    for a, _, b in spans:
+        if a >= end:
+            break
+        if b > start:
+            found.append((start, a))
+            start = b
+    return [(a, b) for a, b in [*found, (start, end)] if b - a >= LEAST]
+
+
+def parts_of(text: str, start: int, end: int, cut: bool) -> list[tuple[int, int]]:
+    """The places to be tested of a run: the run itself, or, where it was cut or no single encoding holds it, its parts too."""
+    whole = encoding(text[start:end]) is not None
+    if whole and not cut:
+        return [(start, end)]
+    found = {(m.start(), m.end()) for split in SPLITS for m in split.finditer(text, start, end)}
+    return sorted(found | {(start, end)} if whole else found)
+
+
 def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -150,16 +179,23 @@ def spans_of(text: str, rate: float = 0.001, reject: float = 0.001) -> tuple[lis
     tested, at = [], 0
     long = [w for w in text.split() if len(w) >= 20]
     for m in CANDIDATE.finditer(text) if long else ():
-        s = m[0].strip("=")
-        start = m.start() + len(m[0]) - len(m[0].lstrip("="))
         while at < len(base) and base[at][2] <= m.start():
             at += 1
-        if len(s) < 20 or s.isdigit() or any(b[0] < m.end() and b[2] > m.start() for b in base[at:]):
-            continue
-        if (known := encoding(s)) and randomness(s, known[1]) >= reject:
-            tested.append((start, start + len(s), evidence(s, known[1])))
-    kept = discoveries([(b - a, e) for a, b, e in tested], rate)
-    return base, sorted([*base, *((tested[i][0], "random", tested[i][1]) for i in kept)], key=order)
+        whole = at == len(base) or base[at][0] >= m.end()
+        for low, high in [m.span()] if whole else rests(*m.span(), base[at:]):
+            for start, end in parts_of(text, low, high, (low, high) != m.span()):
+                s = text[start:end]
+                if not s.isdigit() and (known := encoding(s)) and randomness(s, known[1]) >= reject:
+                    tested.append((start, end, evidence(s, known[1])))
+    random: list[tuple[int, str, int]] = []
+    ends: list[int] = []
+    for i in sorted(discoveries([(b - a, e) for a, b, e in tested], rate), key=lambda i: (-tested[i][2], i)):
+        a, b, _ = tested[i]
+        at = bisect.bisect_right(ends, a)  # the first chosen span that ends after a
+        if at == len(ends) or random[at][0] >= b:
+            random.insert(at, (a, "random", b))
+            ends.insert(at, b)
+    return base, sorted([*base, *random], key=order)
 
 
 def _joined(spans: list[tuple[int, str, int]]) -> str:

@@ -115,6 +115,24 @@ def test_clusters(spark):
     assert set(got) == set(leaders) and sum(got.values()) == len(names)
 
 
+def test_clusters_of_parts(spark, folder):
+    """The registered query against plain Python over all names of each type."""
+    from textloom.plans import registry
+
+    best, mentions = {}, {}
+    for r in spark.read.parquet(f"{folder}/part.parquet").collect():
+        key = (r["p_type"], r["p_name"])
+        best[key] = max(best.get(key, r["p_retailprice"]), r["p_retailprice"])
+        mentions[key] = mentions.get(key, 0) + 1
+    want = {}
+    for t, n in sorted(best, key=lambda k: (-best[k], k[1])):
+        near = next((x for x in want if x[0] == t and difflib.SequenceMatcher(None, n.lower(), x[1].lower()).ratio() > 0.85), (t, n))
+        want.setdefault(near, []).append(n)
+    got = {(r["block"], r["leader"]): (r["size"], r["mentions"], r["members"]) for r in registry.queries()["entity_clusters"](spark, folder).collect()}
+    assert got == {k: (len(v), sum(mentions[k[0], n] for n in v), sorted(v)) for k, v in want.items()}
+    assert any(a[:3].lower() != k[1][:3].lower() for k, v in want.items() for a in v)
+
+
 def test_access(spark):
     rows = spark.createDataFrame([(1, 7), (2, 8), (3, 9)], "k int, owner int")
     grants = spark.createDataFrame([(2,), (2,)], "k int")

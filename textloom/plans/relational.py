@@ -172,9 +172,8 @@ def convert_units(spark, folder):
 
 @query()
 def entity_clusters(spark, folder):
-    """Greedy clusters of similar names; a sequential rule, tested against plain Python."""
-    rows = load(spark, folder, "part")
-    return relations.similarity_clusters(rows, F.left(F.lower("p_name"), F.lit(3)), "p_name", "p_retailprice")
+    """Greedy clusters of similar names of one type; a sequential rule, tested against plain Python."""
+    return relations.similarity_clusters(load(spark, folder, "part"), F.col("p_type"), "p_name", "p_retailprice")
 
 
 @query("""SELECT c_custkey, c_mktsegment, count(o_orderkey) AS n, max(o_totalprice) AS best FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'P'

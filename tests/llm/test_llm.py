@@ -249,6 +249,17 @@ def test_html_template(spark):
     assert got[9] == "" and got[10] == "alone"
 
 
+def test_html_copies(spark):
+    """Copies of a page don't make its text a fixed notice of the host; a notice of different pages is one."""
+    lone = "<body><section id=intro-lagos><p>The first part of an article</p></section><section id=rest><p>its much longer second part, with more words</p></section><div class=end><p>the end</p></div></body>"
+    page = "<body><div class=box><p>Read our terms</p></div><div class=text><p>Text {0} of this page</p></div></body>"
+    rows = [(i, "http://copies/a", lone) for i in range(5)] + [(10 + i, "http://mixed/a", lone) for i in range(4)] + [(20 + i, "http://mixed/b", page.format(i)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "The first part of an article its much longer second part, with more words the end"
+    assert {got[i] for i in (*range(5), *range(10, 14))} == {whole}
+    assert [got[20 + i] for i in range(6)] == [f"Text {i} of this page" for i in range(6)]
+
+
 def test_html_on_pages(spark, folder):
     import html as h
 

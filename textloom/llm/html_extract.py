@@ -14,7 +14,8 @@ inside the article where a page has one.
 
 Vectors are never gathered: each (host, token) keeps a sum of hashes of (page,
 occurrences), equal for equal vectors, so a host with a third of all pages is
-combined before the shuffle like any other.
+combined before the shuffle like any other. Copies of a page are no evidence:
+each different page of a host counts once.
 
 Defined results: a null or empty page has an empty text; a null url is a host of
 its own; pages of a host with fewer than ``least_pages`` pages are told apart by
@@ -25,6 +26,7 @@ anywhere are read to their end.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -156,7 +158,7 @@ def _tokens(pages: DataFrame) -> DataFrame:
         rows = []
         for url, source in zip(cols["url"], cols["html"]):
             page = Page(source)
-            key = zlib.crc32(source.encode())
+            key = int.from_bytes(hashlib.blake2b(source.encode(), digest_size=8).digest(), "little", signed=True)
             held: dict[int, list] = {}
             up: dict[int, int] = {}
             for path, labelled, article, text, linked in page.blocks:
@@ -176,7 +178,7 @@ def _tokens(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame, least_pages: int = 3, link_share: float = 0.6) -> DataFrame:
     """(host, dropped): for each host with slots that hold no main text, their tokens."""
-    tokens = _tokens(pages)
+    tokens = _tokens(pages).drop("parent").distinct()  # copies of a page are one page
     one = tokens.groupBy("host", "token").agg(
         F.count("*").alias("pages"),
         F.max("times").alias("times"),

@@ -104,6 +104,21 @@ def test_first_spans(spark):
     assert sorted(r["a"] for r in relations.first_spans(df, ["k"], "a", "b", best="c").collect()) == [2, 9, 30]
 
 
+def test_first_spans_of_lines(spark, folder):
+    """The registered query against plain Python over the spans of all lines."""
+    from textloom.plans import registry
+
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_suppkey", day.alias("a"), F.col("l_quantity").cast("long").alias("n")).collect()
+    want = {}
+    for k, a, b in sorted({(r["l_suppkey"], r["a"], r["a"] + r["n"]) for r in lines}):
+        kept = want.setdefault(k, [])
+        if all(min(b, y) - max(a, x) <= 0.5 * min(b - a, y - x) for x, y in kept):
+            kept.append((a, b))
+    got = sorted(map(tuple, registry.queries()["interval_overlap_dedupe"](spark, folder).select("k", "a", "b").collect()))
+    assert got == sorted((k, *s) for k, spans in want.items() for s in spans)
+
+
 def test_clusters(spark):
     names = ["red widget", "red widgets", "Red Widget", "blue gear", "blue gears x"]
     df = spark.createDataFrame([(n, float(i)) for i, n in enumerate(names)], "n string, c double")

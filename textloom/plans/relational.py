@@ -144,7 +144,7 @@ def interval_merge(spark, folder):
 def interval_overlap_dedupe(spark, folder):
     """Greedy earliest-first choice of spans; a sequential rule, tested against plain Python."""
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
-    rows = load(spark, folder, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("k"), day.alias("a"), (day + F.col("l_quantity").cast("long")).alias("b")).distinct()
+    rows = load(spark, folder, "lineitem").select(F.col("l_suppkey").alias("k"), day.alias("a"), (day + F.col("l_quantity").cast("long")).alias("b")).distinct()
     return relations.first_spans(rows, ["k"], "a", "b")
 
 

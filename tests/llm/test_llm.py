@@ -406,6 +406,32 @@ def test_toxicity_long_words(monkeypatch):
     assert score(word) > 0.3 > score(quiet + quiet)
 
 
+def test_toxicity_groups_of_texts(monkeypatch):
+    """Scores don't depend on how many texts or words are worked out together."""
+    rng, buckets = random.Random(13), 1 << 12
+    texts = ["", "  ", "one", "(!!) 'quoted'"] + [" ".join("".join(rng.choices("abcdé日", k=rng.randint(1, 90))) for _ in range(rng.randint(1, 80))) for _ in range(40)]
+    model = toxicity.Model(np.random.default_rng(6).normal(size=buckets).astype(np.float32), -0.2)
+
+    def score(text):
+        each = [np.mean([float(model.numbers[g]) for g in toxicity.grams(w.strip(toxicity._STRIP).encode(), buckets)]) for w in text.lower().split()]
+        return 1 / (1 + np.exp(-(model.bias + (np.mean(each) if each else 0))))
+
+    want = [pytest.approx(score(t), rel=1e-5) for t in texts]
+    assert toxicity._Scorer(model).scores(texts) == want
+    monkeypatch.setattr(toxicity, "BLOCK", 50)
+    monkeypatch.setattr(toxicity, "GROUP_CHARS", 300)
+    assert toxicity._Scorer(model, most=20).scores(texts) == want
+
+
+def test_toxicity_repeated_ids(spark):
+    """Rows that repeat the id of a labelled document don't add to what is learnt from."""
+    rows = [(i, f"word{i} " + ("vilest thing " if i % 2 else "kind thing ") * 5) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    once, often = (toxicity.fit(spark.createDataFrame(r, DOCS), labels, buckets=1 << 10) for r in (rows, rows * 3))
+    assert (once.numbers == often.numbers).all() and once.bias == often.bias
+    assert toxicity.misspelt("a bc def") == "a bc def" and all(a != b for a, b in zip("harmless words".split(), toxicity.misspelt("harmless words", 1.0).split()))
+
+
 def test_toxicity_without_labels(spark, odd):
     model = toxicity.fit(odd, spark.createDataFrame([(1, None), (None, 1), (4, 7)], "doc_id long, toxic int"))
     assert {r["predicted"] for r in toxicity.score(odd, model).collect()} == {0}

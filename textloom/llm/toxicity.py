@@ -2,7 +2,8 @@
 
 A word is the bag of its character n-grams of 3 to 5, with marks at both ends,
 hashed into buckets; a text is the mean over its words of the mean of their
-n-grams' vectors. A misspelt word shares most n-grams with the right one.
+n-grams' vectors. A misspelt word shares most n-grams with the right one, and
+each text is learnt from twice, once with slips in half of its longer words.
 Embeddings and softmax are trained together by Adagrad. Since the model is
 linear after averaging, each bucket then has one number, each word the mean of
 its buckets', and scoring a text is one lookup per word.
@@ -10,12 +11,13 @@ its buckets', and scoring a text is one lookup per word.
 Training takes at most ``per_class`` labelled rows of each class, the least by
 hash of doc_id; that bound and ``buckets`` bound the driver's memory, and the
 prior of the labelled rows is put back afterwards. Every text is scored whole;
-the n-grams of a long word (a text without white space is one) are summed in
-blocks, which bound its memory.
+n-grams are worked out in blocks of many words, or of a part of a long one (a
+text without white space is one), which bound their memory.
 
 Defined results: null and wordless texts score as the model's bias alone;
 labels that are null or not 0 or 1 are ignored, and of several labels of a document
-the greatest counts; without rows of both classes every score is the share of
+the greatest counts; of several texts of a labelled document the least is
+learnt from; without rows of both classes every score is the share of
 label 1 (0 if there are no labels); repeated rows are scored once each, null
 doc_ids (crc32 of no text: not held out) stay null; an empty table gives no
 rows; other columns, whatever their names, are ignored.
@@ -24,8 +26,10 @@ rows; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import math
+import random
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -36,8 +40,11 @@ from pyspark.sql import functions as F
 from .frames import documents_of, map_batches, pick, sliced
 
 SHORTEST, LONGEST = 3, 5
-#: Words of more bytes than LONG are read in blocks of BLOCK places; a bag of more than MOST_GRAMS is summed up in between.
-LONG, BLOCK, MOST_GRAMS = 133, 1 << 16, 1 << 18
+#: Words are read in blocks of BLOCK bytes; a bag of more than MOST_GRAMS is summed up in between.
+BLOCK, MOST_GRAMS = 1 << 16, 1 << 18
+#: Texts are scored about so many characters at a time; words of KEPT_CHARS or more are worked out each time.
+GROUP_CHARS, KEPT_CHARS = 1 << 20, 64
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _STRIP = ".,;:!?|()[]\"'"
 _CRC = np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], dtype=np.uint32)
 
@@ -53,17 +60,32 @@ def grams(word: bytes, buckets: int) -> list[int]:
     return [crc(word[i : i + n]) % buckets for n in range(SHORTEST, min(LONGEST, size) + 1) for i in range(size - n + 1)] or [crc(word) % buckets]
 
 
-def gram_blocks(word: bytes, buckets: int) -> Iterator[np.ndarray]:
-    """The buckets of grams() in arrays of at most BLOCK; the checksums of all places of a block advance together."""
-    raw = np.frombuffer(b"<%b>" % word, np.uint8)
+def word_grams(words: list[bytes], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, place of the word) of all n-grams of stripped words, in arrays of at most BLOCK; a block's checksums advance together."""
+    marked = [b"<%b>" % w for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    ends = np.cumsum(sizes)
+    raw = np.frombuffer(b"".join(marked), np.uint8)
     for low in range(0, len(raw), BLOCK):
         part = raw[low : low + BLOCK + LONGEST - 1]
-        state = np.full(min(BLOCK, len(part)), 0xFFFFFFFF, np.uint32)
-        for n in range(min(LONGEST, len(part))):
-            state = state[: len(part) - n]
-            state = _CRC[(state ^ part[n : n + len(state)]) & 0xFF] ^ (state >> 8)
+        at = np.arange(min(BLOCK, len(raw) - low))
+        of = np.searchsorted(ends, at + low, side="right")
+        room = ends[of] - low - at  # bytes left in the word
+        state = np.full(len(at), 0xFFFFFFFF, np.uint32)
+        for n in range(LONGEST):
+            inside = room[at] > n
+            at, state = at[inside], state[inside]
+            state = _CRC[(state ^ part[at + n]) & 0xFF] ^ (state >> 8)
             if n + 1 >= SHORTEST:
-                yield ((state ^ 0xFFFFFFFF) % buckets).astype(np.int32)
+                yield ((state ^ 0xFFFFFFFF) % buckets).astype(np.int32), of[at]
+    wordless = np.flatnonzero(sizes < SHORTEST)
+    if len(wordless):
+        yield np.full(len(wordless), zlib.crc32(b"<>") % buckets, np.int32), wordless
+
+
+def gram_blocks(word: bytes, buckets: int) -> Iterator[np.ndarray]:
+    """The buckets of grams(), in arrays of at most BLOCK."""
+    return (g for g, _ in word_grams([word], buckets))
 
 
 def n_grams(size: int) -> int:
@@ -71,36 +93,53 @@ def n_grams(size: int) -> int:
     return sum(max(size + 2 - n + 1, 0) for n in range(SHORTEST, LONGEST + 1)) or 1
 
 
+def _groups(words: list[bytes], size: int) -> Iterator[slice]:
+    """Neighbouring words of at most so many bytes together, or one longer word."""
+    low = held = 0
+    for i, w in enumerate(words):
+        if held and held + len(w) > size:
+            yield slice(low, i)
+            low, held = i, 0
+        held += len(w) + 2
+    if low < len(words):
+        yield slice(low, len(words))
+
+
 def bag(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, weight): the mean over words of the mean over their n-grams."""
-    counts: dict[str, int] = {}
-    words = text.lower().split()
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    at, weight, total = [], [], None
-    for w, n in counts.items():
-        word = w.strip(_STRIP).encode()
-        if len(word) + 2 <= LONG:
-            g = grams(word, buckets)
-            at += g
-            weight += [n / (len(g) * len(words))] * len(g)
-        else:
-            total = np.zeros(buckets) if total is None else total
-            share = n / (n_grams(len(word)) * len(words))
-            for g in gram_blocks(word, buckets):
-                np.add.at(total, g, share)
-        if len(at) > MOST_GRAMS:
-            total = np.zeros(buckets) if total is None else total
-            total += np.bincount(at, weights=weight, minlength=buckets)
-            at, weight = [], []
-    if total is not None:
-        total += np.bincount(np.array(at, dtype=np.int32), weights=weight, minlength=buckets)
+    """(bucket, weight): the mean over words of the mean over their n-grams; summed over all buckets where a text has very many."""
+    counts = Counter(text.lower().split())
+    n = counts.total()
+    words = [w.strip(_STRIP).encode() for w in counts]
+    share = np.array([c / (n * n_grams(len(w))) for c, w in zip(counts.values(), words)])
+    at, weight, held = [], [], 0
+    total = np.zeros(0)
+    for own in _groups(words, BLOCK):
+        for g, of in word_grams(words[own], buckets):
+            at.append(g)
+            weight.append(share[own][of])
+            held += len(g)
+            if held > MOST_GRAMS:
+                total = np.bincount(np.concatenate(at), np.concatenate(weight), buckets) + (total if len(total) else 0)
+                at, weight, held = [], [], 0
+    if len(total):
+        total += np.bincount(np.concatenate(at), np.concatenate(weight), buckets) if at else 0
         found = np.flatnonzero(total).astype(np.int32)
         return found, total[found].astype(np.float32)
     if not at:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    found, where = np.unique(np.array(at, dtype=np.int32), return_inverse=True)
-    return found, np.bincount(where, weights=weight).astype(np.float32)
+    found, where = np.unique(np.concatenate(at), return_inverse=True)
+    return found, np.bincount(where, np.concatenate(weight)).astype(np.float32)
+
+
+def misspelt(text: str, share: float = 0.5) -> str:
+    """The text with about that share of its longer words written with one slip: a letter lost, doubled, swapped or wrong."""
+    rng = random.Random(zlib.crc32(text.encode()))
+    words = text.split()
+    for k, w in enumerate(words):
+        if len(w) > 3 and rng.random() < share:
+            i = rng.randrange(1, len(w) - 1)
+            words[k] = w[:i] + rng.choice((w[i + 1 :], w[i] + w[i:], w[i + 1] + w[i] + w[i + 2 :], rng.choice(_LETTERS) + w[i + 1 :]))
+    return " ".join(words)
 
 
 class Model(NamedTuple):
@@ -160,13 +199,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, buckets: int
         return Model(np.zeros(buckets, np.float32), math.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
     least = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = least(0).union(least(1))  # 2 * per_class rows of two numbers: bounded, so they may be broadcast
-    texts = rows.join(F.broadcast(chosen), "doc_id")
+    texts = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def bags(cols: dict) -> dict:
-        found = [bag(t, buckets) for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "toxic": cols["toxic"], "bucket": [f[0] for f in found], "weight": [f[1] for f in found]}
+        found = [bag(x, buckets) for t in cols["text"] for x in (t, misspelt(t))]
+        twice = lambda c: [x for x in cols[c] for _ in "ab"]
+        return {"doc_id": twice("doc_id"), "toxic": twice("toxic"), "copy": [0, 1] * len(cols["text"]), "bucket": [f[0] for f in found], "weight": [f[1] for f in found]}
 
-    found = map_batches(texts, bags, "doc_id long, toxic int, bucket array<int>, weight array<float>").toArrow().combine_chunks().sort_by("doc_id")
+    found = map_batches(texts, bags, "doc_id long, toxic int, copy int, bucket array<int>, weight array<float>").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("copy", "ascending")])
     toxic = found["toxic"].to_numpy().astype(np.int64)
     if len(set(toxic.tolist())) < 2:
         return Model(np.zeros(buckets, np.float32), math.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
@@ -179,36 +219,51 @@ class _Scorer(dict):
     """Each word's number, kept for words seen before; where ``most`` are kept, all are forgotten and frequent ones soon back."""
 
     def __init__(self, model: Model, most: int = 250_000):
-        self.array, self.numbers, self.bias, self.most, self.parts = model.numbers, model.numbers.tolist(), model.bias, most, {}
+        self.numbers, self.bias, self.most = model.numbers, model.bias, most
+
+    def learn(self, runs: list[str]) -> None:
+        """The numbers of new words, worked out together."""
+        words = [r.strip(_STRIP).encode() for r in runs]
+        for own in _groups(words, BLOCK):
+            few = words[own]
+            total = np.zeros(len(few))
+            for g, of in word_grams(few, len(self.numbers)):
+                total += np.bincount(of, self.numbers[g], len(few))
+            self.update(zip(runs[own], (total / [n_grams(len(w)) for w in few]).tolist()))
 
     def __missing__(self, run: str) -> float:
-        word = run.strip(_STRIP)
-        number = self.parts.get(word)
-        if number is None:
-            raw = word.encode()
-            if len(raw) + 2 <= LONG:
-                g = grams(raw, len(self.numbers))
-                number = sum([self.numbers[i] for i in g]) / len(g)
-            else:
-                number = sum(float(self.array[g].sum(dtype=np.float64)) for g in gram_blocks(raw, len(self.array))) / n_grams(len(raw))
-            if len(self.parts) >= self.most:
-                self.parts.clear()
-            if len(word) < 64:
-                self.parts[word] = number
-        if len(self) >= self.most:
-            self.clear()
-        if len(run) < 64:
-            self[run] = number
-        return number
+        self.learn([run])
+        return self[run]
 
     def forget(self) -> None:
         self.clear()
-        self.parts.clear()
+
+    def _scores(self, texts: list[list[str]]) -> list[float]:
+        runs = set().union(*texts)
+        new = [r for r in runs if r not in self]
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = list(runs)
+        self.learn(new)
+        odds = [self.bias + (sum(map(self.__getitem__, words)) / len(words) if words else 0.0) for words in texts]
+        for run in new:
+            if len(run) >= KEPT_CHARS:
+                del self[run]
+        return [1 / (1 + math.exp(-max(-700.0, min(700.0, x)))) for x in odds]
+
+    def scores(self, texts: Iterable[str]) -> list[float]:
+        """The scores of the texts, words looked up for about GROUP_CHARS at a time."""
+        out, held, chars = [], [], 0
+        for t in texts:
+            held.append(t.lower().split())
+            chars += len(t)
+            if chars > GROUP_CHARS:
+                out += self._scores(held)
+                held, chars = [], 0
+        return out + self._scores(held)
 
     def score(self, text: str) -> float:
-        words = text.lower().split()
-        x = self.bias + (sum(map(self.__getitem__, words)) / len(words) if words else 0.0)
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
+        return self.scores([text])[0]
 
 
 _scorers: dict[int, _Scorer] = {}
@@ -228,7 +283,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(cols: dict) -> dict:
         scorer = _scorer(model)
-        scores = [scorer.score(t) for t in cols["text"]]
+        scores = scorer.scores(cols["text"])
         return {"doc_id": cols["doc_id"], "score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
     return map_batches(documents_of(docs), run, "doc_id long, score double, predicted int")
@@ -242,7 +297,7 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataF
     def run(batches):
         scorer = _scorer(model)
         for batch in sliced(batches):
-            clean = [scorer.score(t or "") < threshold for t in batch.column(at).to_pylist()]
+            clean = [x < threshold for x in scorer.scores(t or "" for t in batch.column(at).to_pylist())]
             yield batch.filter(pa.array(clean, type=pa.bool_()))
         scorer.forget()  # workers live on: later stages need the memory
 

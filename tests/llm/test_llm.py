@@ -260,6 +260,59 @@ def test_html_copies(spark):
     assert [got[20 + i] for i in range(6)] == [f"Text {i} of this page" for i in range(6)]
 
 
+def _plain_host(i, rng):
+    """A page without article, known names or tags, and its main text: menu, text, list of other pages, box of records, notice."""
+    say = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(n))
+    head, paras = say(5), [say(rng.randint(8, 60)) for _ in range(rng.randint(2, 5))]
+    menu = "".join(f"<a href=/{k}>go {k}</a> " for k in range(5))
+    seen = "".join(f"<div class=r><a href=/p{k}>{say(4)}</a> {rng.randint(1, 9)} h</div>" for k in range(rng.randint(1, 6)))
+    box = f"<div class=z9><h4>Said by readers</h4>{''.join(f'<div class=r>{say(3)}</div>' for _ in range(rng.randint(1, 3)))}<div class='comment-form'>{'Say something nice about it. ' * 6}</div></div>" if i % 2 else ""
+    body = f"<div class=q1>{menu}</div><div class=q2><div class=q3><h1>{head}</h1></div>{''.join(f'<p>{p}</p>' for p in paras)}</div><div class=q4>{seen}</div>{box}<div class=q5>We use all of your data</div>Top of page"
+    return f"<html><body>{body}</body></html>", " ".join([head, *paras])
+
+
+def _html_texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_hosts_without_article(spark, monkeypatch):
+    """The template tells the main text of pages that name nothing, and doesn't without its classes."""
+    rng = random.Random(21)
+    pages = [_plain_host(i, rng) for i in range(24)]
+    rows = [(i, f"http://plain/{i}", h) for i, (h, _) in enumerate(pages)]
+    want = {i: t for i, (_, t) in enumerate(pages)}
+    got = _html_texts(spark, rows)
+    # The box of records varies in text: its class goes as most of its text is labelled; text straight in the body is fixed.
+    assert got == want
+    real = html_extract.templates
+    monkeypatch.setattr(html_extract, "templates", lambda one: real(one.withColumn("times", F.lit(2))).union(one.select("host", "token", F.col("token").alias("slot"), "vector", F.lit(0).cast("long"))))
+    without = _html_texts(spark, rows)
+    assert all(want[i] in without[i] for i in want) and sum(without[i] != want[i] for i in want) >= 12
+
+
+def test_html_labels():
+    text = lambda h: html_extract.Page(h).main_text()
+    assert text('<article><p class="advert">buy</p><p>a <span class="comments">no <span>nor</span></span>b</p><p class="cookie-notice">c</p><section class="related-work">kept</section><div class="related-posts">no</div><h2 class="ad2">x</h2></article>') == "a b kept"
+    assert text('<div class="header-of-story">told</div><div class="comment_list">no</div><div id="sidebar-left-2">no</div><p>end</p>') == "told end"
+    deep = "<div>" * 5000 + "inside" + "</div>" * 5000
+    assert text(deep) == "inside" and max(len(b[0]) for b in html_extract.Page(deep).blocks) == html_extract.DEPTH
+
+
+def test_html_edge_cases(spark):
+    """Nulls in any column, repeated rows, clashing names, an empty table, a very long page."""
+    long = "<article>" + "".join(f"<p>part {i}</p>" for i in range(30_000)) + "</article>"
+    rows = [(1, None, "<p>a"), (1, None, "<p>a"), (None, "http://h/", None), (2, "http://h/", ""), (3, "http://h/", long), (4, "no host", "<nav>x</nav>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", F.lit(1).alias("host"), F.lit("t").alias("text"), F.lit(0).alias("HTML"))
+    got = html_extract.extract(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    want = [(1, None, "a", 1)] * 2 + [(None, "http://h/", "", 0), (2, "http://h/", "", 0), (4, "no host", "", 0)]
+    found = [tuple(r) for r in got.collect()]
+    assert sorted((r for r in found if r[0] != 3), key=repr) == sorted(want, key=repr)
+    assert next(r for r in found if r[0] == 3)[2] == " ".join(f"part {i}" for i in range(30_000))
+    assert html_extract.extract(df.limit(0)).count() == 0
+    assert {r[0]: r[2] for r in html_extract.extract(df, broadcast_tokens=0).collect()} == {r[0]: r[2] for r in found}
+
+
 def test_html_on_pages(spark, folder):
     import html as h
 

@@ -2,30 +2,39 @@
 
 After Arasu and Garcia-Molina, "Extracting Structured Data from Web Pages"
 (2003). A token is a container element told by its path (tags with classes and
-ids). Over the pages of one host each token has a vector of occurrences, and
-tokens with equal vectors form a class. A class is valid if its tokens stand
-exactly once on each page that has them; the valid classes, nested by their
-paths, are the template, and the text directly inside each of its elements is a
-slot. Slots are then told apart by what all pages of the host say of them:
-menus and the like by their tags and names, link lists by the share of their
-text in links, and fixed notices by having one and the same text on every page,
-the host's largest slot and articles excepted. What is left is the main text,
-inside the article where a page has one.
+ids). Over the different pages of one host each token has a vector of
+occurrences. Tokens with equal vectors form a class; it is valid if its tokens
+stand exactly once on each of their pages. Valid classes are nested: a class
+hangs in the slot of the innermost valid token of another class around it, and
+tokens of one class in different slots are classes of their own. This tree is
+the template. A text belongs to the slot of the innermost template token around
+it, so records that repeat on a page (comments, list entries) are told together
+by the slot that holds them.
+
+Slots hold no main text if they are menus (most of their text is in links),
+fixed notices (one and the same text on every page), or labelled so by tags and
+names of elements; a class whose text is mostly such goes whole. The host's
+largest slot and slots of articles are excepted, but for notices inside an
+article that twice as many pages share. What is left is the main text, inside
+the article where a page has one.
 
 Vectors are never gathered: each (host, token) keeps a sum of hashes of (page,
 occurrences), equal for equal vectors, so a host with a third of all pages is
-combined before the shuffle like any other. Copies of a page are no evidence:
-each different page of a host counts once.
+combined before the shuffle like any other. Pages of the same texts are no
+evidence: they count once for a host. Pages are parsed once for the template and
+once for their text.
 
 Defined results: a null or empty page has an empty text; a null url is a host of
 its own; pages of a host with fewer than ``least_pages`` pages are told apart by
-tags, names and links alone; repeated rows come back once each; an empty table
-gives no rows; other columns, whatever their names, are ignored; pages cut off
-anywhere are read to their end.
+tags, names and links alone; containers nested deeper than ``DEPTH`` belong to
+the slot of the last one above that; repeated rows come back once each; an empty
+table gives no rows; other columns, whatever their names, are ignored; pages cut
+off anywhere are read to their end.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
@@ -50,17 +59,34 @@ NAMES = frozenset(
     " footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion related replies reply"
     " respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Words that may stand beside one of NAMES in a name without changing what it says.
+BESIDE = frozenset(
+    "area articles bar block bottom box btn button buttons center col column container content count entry feed fixed float foot form global group head"
+    " holder home inner item items label layer layout left line link links list main mobile nav outer page panel posts primary region right row secondary"
+    " section site slot small sticky sub text thread title top unit wrap wrapper zone".split()
+)
+DEPTH = 64
 _CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 
 
 def _names(attributes: str) -> list[str]:
-    found = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower()
-    return [n for n in re.split(r"[^a-z0-9]+", found) if n]
+    return " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower().split() if "=" in attributes else []
 
 
 def _stem(name: str) -> str:
-    """A name without the digits that number its instances."""
-    return name.rstrip("0123456789")
+    """A name without the number of an instance (a single digit tells parts of a page apart and stays)."""
+    return re.sub(r"-?\d{2,}$", "", "-".join(re.split(r"[^a-z0-9]+", name)))
+
+
+def _key(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+@functools.lru_cache(1 << 14)
+def says_no_text(name: str) -> bool:
+    """Whether a class or id names something that isn't main text: by one of NAMES, alone or beside words of layout."""
+    parts = [p for p in re.split(r"[^a-z]+", name) if p]
+    return not NAMES.isdisjoint(parts) and all(p in NAMES or p in BESIDE for p in parts)
 
 
 class Page:
@@ -68,41 +94,42 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[tuple[int, ...], bool, bool, str, int]] = []
-        self.seen: dict[int, int] = {}
-        self.has_article = False
-        self._stack: list[tuple[str, int | None, bool, bool]] = [("", 0, False, False)]  # tag, key of a container, labelled, in article
+        self.seen: dict[int, list] = {}
+        self._stack: list[tuple[str, tuple[int, ...], bool, bool]] = [("", (0,), False, False)]  # tag, path, labelled, in article
         self._text: list[str] = []
-        self._linked, self._links, self._own = 0, 0, ()
+        self._linked, self._links = 0, 0
+        self._mute: list[str] = []  # inline elements labelled as no main text, and those of the same tag inside
         self._read(source)
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join(html.unescape("".join(self._text)).split())
             if text:
-                top = self._stack[-1]
-                self.blocks.append((tuple(k for _, k, _, _ in self._stack if k is not None), top[2], top[3], text, self._linked))
-        self._text, self._linked = [], 0
+                _, path, labelled, article = self._stack[-1]
+                self.blocks.append((path, labelled, article, text, self._linked))
+        self._text, self._linked, self._mute = [], 0, []
 
     def _add(self, text: str) -> None:
-        if text:
+        if text and not self._mute:
             self._text.append(text)
             if self._links:
                 self._linked += len(text.strip())
 
     def _open(self, tag: str, attributes: str) -> None:
-        path, labelled, article = next(k for _, k, _, _ in reversed(self._stack) if k is not None), self._stack[-1][2], self._stack[-1][3]
-        key = None
+        _, path, labelled, article = self._stack[-1]
+        names = _names(attributes)
+        whole = tag in ("html", "body", "article", "main")
+        # An article's own head holds its headline.
+        labelled = labelled or (tag in DROPPED and not (tag == "header" and article)) or (not whole and any(map(says_no_text, names)))
         if tag in CONTAINERS:
-            names = _names(attributes)
-            key = zlib.crc32(f"{path}/{tag}.{'.'.join(map(_stem, names))}".encode())
-            self.seen[key] = self.seen.get(key, 0) + 1
-            # An article's own head holds its headline.
-            labelled = labelled or (tag in DROPPED and not (tag == "header" and article)) or (tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(names))
             article = (article or tag in ("article", "main")) and not labelled
-            self.has_article |= article
-        elif tag in DROPPED:
-            labelled = True
-        self._stack.append((tag, key, labelled, article))
+            if len(path) < DEPTH:
+                path = (*path, _key(f"{path[-1]}/{tag}.{'.'.join(map(_stem, names))}".encode()))
+            seen = self.seen.setdefault(path[-1], [0, path, labelled, article])
+            seen[0] += 1
+            seen[2] &= labelled
+            seen[3] |= article
+        self._stack.append((tag, path, labelled, article))
 
     def _close(self, tag: str) -> None:
         for i in range(len(self._stack) - 1, 0, -1):
@@ -110,6 +137,21 @@ class Page:
                 del self._stack[i:]
                 return
 
+    def _inline(self, tag: str, closes: bool, attributes: str) -> None:
+        if tag == "a":
+            self._links = max(0, self._links + (-1 if closes else 1))
+        elif tag in ("br", "wbr"):
+            self._add(" ")
+            return
+        if self._mute:
+            if not closes and tag == self._mute[0]:
+                self._mute.append(tag)
+            elif closes and tag == self._mute[0]:
+                self._mute.pop()
+        elif not closes and any(map(says_no_text, _names(attributes))):
+            self._text.append(" ")
+            self._mute = [tag]
+
     def _read(self, source: str) -> None:
         at = 0
         while m := _TAG.search(source, at):
@@ -119,10 +161,7 @@ class Page:
                 continue
             tag = m[2].lower()
             if tag in INLINE:
-                if tag == "a":
-                    self._links = max(0, self._links + (-1 if m[1] else 1))
-                elif tag in ("br", "wbr"):
-                    self._text.append(" ")
+                self._inline(tag, bool(m[1]), m[3] or "")
                 continue
             self._flush()
             self._links = 0
@@ -140,9 +179,9 @@ class Page:
         self._flush()
 
     def main_text(self, dropped: frozenset[int] = frozenset()) -> str:
-        kept = [b for b in self.blocks if not b[1] and dropped.isdisjoint(b[0])]
-        if self.has_article and any(b[2] for b in kept):
-            kept = [b for b in kept if b[2]]
+        """The texts of unlabelled blocks outside dropped tokens, of the article's alone if there are any."""
+        kept = [b for b in self.blocks if not b[1] and b[0][-1] not in dropped]
+        kept = [b for b in kept if b[2]] or kept
         return " ".join(b[3] for b in kept)
 
 
@@ -150,65 +189,106 @@ def host_of(url: str | None) -> str | None:
     return url and re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "", url).lstrip("/").split("/")[0].split("?")[0].split("#")[0].rpartition("@")[2].lower()
 
 
+_TOKENS = "host string, page long, token long, path array<long>, times int, labelled boolean, article boolean, chars long, linked long, said long"
+
+
 def _tokens(pages: DataFrame) -> DataFrame:
-    """One row per container token of a page: occurrences, and what stands directly inside it."""
+    """One row per container token of a page: occurrences, and what stands directly inside it; a page is told by its texts."""
+    names = [c.split()[0] for c in _TOKENS.split(", ")]
 
     def run(cols: dict) -> dict:
-        names = ("host", "page", "token", "parent", "times", "chars", "linked", "said", "article")
         rows = []
         for url, source in zip(cols["url"], cols["html"]):
             page = Page(source)
-            key = int.from_bytes(hashlib.blake2b(source.encode(), digest_size=8).digest(), "little", signed=True)
             held: dict[int, list] = {}
-            up: dict[int, int] = {}
-            for path, labelled, article, text, linked in page.blocks:
-                for a, b in zip(path, path[1:]):
-                    up[b] = a
-                h = held.setdefault(path[-1], [0, 0, 0, False])
+            for path, _, _, text, linked in page.blocks:
+                h = held.setdefault(path[-1], [0, 0, 0])
                 h[0] += len(text)
                 h[1] += linked
                 h[2] = zlib.crc32(text.encode(), h[2])
-                h[3] |= article
-            host = host_of(url)
-            rows += [(host, key, t, up.get(t, 0), n, *held.get(t, (0, 0, 0, False))) for t, n in page.seen.items()]
+            host, key = host_of(url), _key(repr([(b[0][-1], b[3], b[4]) for b in page.blocks]).encode())
+            rows.append((host, key, 0, [0], 1, False, False, *held.get(0, (0, 0, 0))))
+            rows += [(host, key, t, path, n, labelled, article, *held.get(t, (0, 0, 0))) for t, (n, path, labelled, article) in page.seen.items()]
         return dict(zip(names, zip(*rows) if rows else [[]] * len(names)))
 
-    return map_batches(pages, run, "host string, page long, token long, parent long, times int, chars long, linked long, said long, article boolean")
+    return map_batches(pages, run, _TOKENS)
 
 
-def templates(pages: DataFrame, least_pages: int = 3, link_share: float = 0.6) -> DataFrame:
-    """(host, dropped): for each host with slots that hold no main text, their tokens."""
-    tokens = _tokens(pages).drop("parent").distinct()  # copies of a page are one page
-    one = tokens.groupBy("host", "token").agg(
+def vectors(pages: DataFrame) -> DataFrame:
+    """One row per (host, token): its vector over the host's different pages, and sums of what it holds."""
+    return _tokens(pages).distinct().groupBy("host", "token", "path").agg(
         F.count("*").alias("pages"),
         F.max("times").alias("times"),
         F.sum(F.xxhash64("page", "times").bitwiseAND(F.lit((1 << 40) - 1))).alias("vector"),
+        F.min("labelled").alias("labelled"),
+        F.max("article").alias("article"),
         F.sum("chars").alias("chars"),
         F.sum("linked").alias("linked"),
-        F.min("said").alias("least"),
-        F.max("said").alias("most"),
+        (F.min("said") == F.max("said")).alias("fixed"),
+    )
+
+
+def templates(one: DataFrame) -> DataFrame:
+    """(host, token, slot, vector, outer): every token's slot, the innermost valid token that it is or is in, with its class.
+
+    outer is the slot of the class around; vector and outer name a class of the template.
+    """
+    valid = one.where("times = 1").select(F.col("host").alias("of"), F.col("token").alias("up"), F.col("vector").alias("up_vector"))
+    around = one.select("host", "token", F.posexplode("path").alias("depth", "at"))
+    met = around.join(valid, F.col("host").eqNullSafe(F.col("of")) & (F.col("at") == F.col("up")))
+    chain = met.groupBy("host", "token").agg(F.array_sort(F.collect_list(F.struct("depth", "up", "up_vector"))).alias("chain"))  # at most DEPTH
+    last = F.element_at("chain", -1)
+    others = F.filter("chain", lambda x: x["up_vector"] != F.element_at("chain", -1)["up_vector"])
+    return chain.select("host", "token", last["up"].alias("slot"), last["up_vector"].alias("vector"), F.get(others, F.size(others) - 1)["up"].alias("outer"))
+
+
+def _same_host(a: DataFrame, b: DataFrame, *more: str, how: str = "inner") -> DataFrame:
+    """Join on the null-safe host and other columns; b's copies of them go."""
+    renamed = b.withColumnsRenamed({c: f"_{c}" for c in ("host", *more)})
+    on = F.col("host").eqNullSafe(F.col("_host"))
+    for c in more:
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return a.join(renamed, on, how).drop("_host", *[f"_{c}" for c in more])
+
+
+def dropped_tokens(one: DataFrame, template: DataFrame, least_pages: int = 3, share: float = 0.6) -> DataFrame:
+    """(host, dropped): for each host, the tokens of slots that hold no main text."""
+    placed = _same_host(one.drop("vector"), template, "token")
+    slots = placed.groupBy("host", "slot", "vector", "outer").agg(
+        F.sum("chars").alias("chars"),
+        F.sum("linked").alias("linked"),
+        F.min(F.col("fixed") | (F.col("chars") == 0)).alias("fixed"),
+        F.max("pages").alias("pages"),
+        F.min("labelled").alias("labelled"),
         F.max("article").alias("article"),
     )
-    # A class is the tokens of one vector; it is valid if they stand once on each of their pages.
-    classes = one.groupBy("host", "vector", "pages").agg(F.max("times").alias("times"), F.max("chars").alias("class_chars"))
-    hosts = one.groupBy("host").agg(F.max("chars").alias("largest"))
-    valid = classes.where("times = 1").select("host", "vector", "pages")
-    placed = one.join(valid, (one["host"].eqNullSafe(valid["host"])) & (one["vector"] == valid["vector"]) & (one["pages"] == valid["pages"]), "left_semi")
-    known = placed.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
-    fixed = (F.col("pages") >= least_pages) & (F.col("least") == F.col("most")) & ~F.col("article") & (F.col("chars") < F.col("largest"))
-    linked = (F.col("linked") > link_share * F.col("chars")) & (F.col("chars") < F.col("largest"))
-    return known.where((F.col("chars") > 0) & (fixed | linked)).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("dropped"))
-
-
-def extract(pages: DataFrame, least_pages: int = 3, broadcast_hosts: int = 20_000) -> DataFrame:
+    hosts = slots.where(~F.col("labelled")).groupBy("host").agg(F.max("chars").alias("largest"))
+    known = _same_host(slots, hosts, how="left").withColumn("free", F.col("labelled") | (F.col("chars") < F.coalesce("largest", F.lit(0))))
+    notice = F.col("fixed") & (F.col("pages") >= F.when(F.col("article"), 2 * least_pages).otherwise(least_pages))
+    menu = (F.col("linked") > share * F.col("chars")) & ~F.col("article")
+    told = known.withColumn("out", F.col("free") & (F.col("chars") > 0) & (F.col("labelled") | notice | menu))
+    # A class of the template is judged whole, by most of its text.
+    classes = told.groupBy("host", "vector", "outer").agg(
+        (F.sum(F.when(F.col("out"), F.col("chars")).otherwise(0)) > share * F.sum("chars")).alias("class_out"),
+        F.min(F.col("free") & ~F.col("article")).alias("class_free"),
+    )
+    judged = _same_host(told, classes, "vector", "outer").where(F.col("out") | (F.col("class_out") & F.col("class_free")))
+    return _same_host(template, judged.select("host", "slot"), "slot", how="left_semi").groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("dropped"))
+
+
+def extract(pages: DataFrame, least_pages: int = 3, broadcast_tokens: int = 1_000_000) -> DataFrame:
     """page_id, url, text, n_chars for every page.
 
-    The hosts' templates are written once; they are broadcast only while their
-    counted rows are at most broadcast_hosts.
+    The tokens and the hosts' dropped ones are written once. The latter are
+    broadcast only while their counted tokens are at most broadcast_tokens;
+    beyond that pages are joined by a shuffle on the host, whose large
+    partitions adaptive execution splits.
     """
     rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    found = stored(templates(rows.select("url", "html"), least_pages), "templates").withColumnRenamed("host", "of")
-    found = F.broadcast(found) if found.count() <= broadcast_hosts else found
+    one = stored(vectors(rows.select("url", "html")), "tokens")
+    found = stored(dropped_tokens(one, templates(one), least_pages), "templates").withColumnRenamed("host", "of")
+    size = found.agg(F.coalesce(F.sum(F.size("dropped") + 8), F.lit(0))).first()[0]
+    found = F.broadcast(found) if size <= broadcast_tokens else found
     plain = F.regexp_replace("url", "^[a-zA-Z][a-zA-Z0-9+.-]*:", "")
     own = F.lower(F.regexp_extract(plain, r"^/*(?:[^/?#]*@)?([^/?#]*)", 1))
     joined = rows.withColumn("host", own).join(found, F.col("host").eqNullSafe(F.col("of")), "left").select("page_id", "url", "html", "dropped")

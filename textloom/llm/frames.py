@@ -28,9 +28,9 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def documents_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text) with a null text read as an empty one."""
+    """(doc_id, text) with a null text read as an empty one, and an id that is no number as a null one."""
     out = pick(df, key, text)
-    return out.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return out.select(F.col(key).try_cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -40,15 +40,15 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(low, rows)
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructType) -> DataFrame:
-    """Run fn over Arrow batches: a dict of Python lists in, a dict of lists or arrays out."""
+def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructType, rows: int = 512) -> DataFrame:
+    """Run fn over Arrow batches of at most so many rows: a dict of Python lists in, a dict of lists or arrays out."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, rows):
             out = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
@@ -58,12 +58,14 @@ def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.Struc
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
-    Only where that is unset, as in tests on one machine, a folder under the
-    warehouse is set in its place.
+    Only where that is unset and Spark runs on this machine alone, as in tests, a
+    folder under the warehouse is set in its place; a cluster must name one.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)

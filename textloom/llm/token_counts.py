@@ -4,9 +4,12 @@ Within one pre-token, the encoding of a prefix is the encoding of a shorter
 prefix and one last token, and that token is the only vocabulary entry that
 ends there and can stand after the last token of the shorter prefix (two tokens
 can be neighbours when merging their bytes together gives just these two). So
-one pass stores the exact count of every prefix, and the count of any prefix of
-a text is the sum over the whole pre-tokens before it plus one lookup:
-truncation and budget questions need no second encoding.
+one pass over a pre-token stores the exact count of every prefix. These tables
+are kept for pre-tokens seen before; a text's count is the sum of their last
+entries, and laid end to end they are the text's own table: its exact count at
+every prefix, by which truncation and budget questions are look-ups. Where a
+cut changes how its last pre-token is parted (white space, contractions, special
+strings), the table has the count of the parts that the cut leaves.
 
 Defined results: a null text is an empty one with no tokens; a null doc_id
 stays null; repeated rows are counted once each; an empty table gives no rows;
@@ -16,13 +19,14 @@ whole.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import json
 import re
-from itertools import accumulate
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .frames import documents_of, map_batches
 from .vocab import spelled, vocab_path
@@ -39,6 +43,11 @@ def _pattern(letter: str, number: str, neither: str) -> str:
 #: For texts of these characters alone the standard library's expressions agree with the Unicode classes.
 _PLAIN = re.compile(_pattern(f"[{_LETTERS}]", f"[{_NUMBERS}]", rf"[^\s{_LETTERS}{_NUMBERS}]"))
 _OTHER = re.compile("[^\t\n\r -~¡-ɏ]")
+_RUNS = re.compile(r"\s+")
+#: Contractions that a cut before their end parts in two.
+_CUT = frozenset(("'ll", "'ve", "'re"))
+#: Tables of pre-tokens of fewer bytes are kept.
+KEPT_BYTES = 64
 #: A space beside other white space: elsewhere a space always begins a pre-token.
 _GAP = re.compile(r" \s|\s ")
 
@@ -59,9 +68,18 @@ class PrefixCounts:
         self.id_of = {b: i for i, b in self.bytes_of.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.id_of))
+        #: The merge that makes each token: (rank, left, right).
+        self.made: dict[bytes, tuple[int, bytes, bytes]] = {}
+        for (a, b), i in self.rank.items():
+            self.made.setdefault(a + b, (i, a, b))
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.id_of:
+            if len(token) > 1:
+                lengths.setdefault(token[-2:], set()).add(len(token))
+        #: Lengths of the tokens that end in two bytes, longest first.
+        self.lengths = {end: (*sorted(found, reverse=True), 1) for end, found in lengths.items()}
         self.any = regex.compile(_pattern(r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]"))
-        self.most, self.whole, self.beside, self.totals, self.spaced, self.first = most, {}, {}, {}, {}, {}
+        self.most, self.whole, self.beside, self.tables, self.spaced = most, {}, {}, {}, {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The parts of data after all merges, lowest rank first."""
@@ -82,36 +100,69 @@ class PrefixCounts:
     def follows(self, left: bytes, right: bytes) -> bool:
         found = self.beside.get((left, right))
         if found is None:
-            found = self.merged(left + right) == [left, right]
-            if len(self.beside) < 2 * self.most:
-                self.beside[left, right] = found
+            found = self._beside(left, right)
+            self._keep(self.beside, (left, right), found, 2 * self.most)
         return found
 
+    def _beside(self, left: bytes, right: bytes) -> bool:
+        """Whether merging left and right, each a single token, together gives just these two.
+
+        Taking back the later of the two last merges leads to the neighbours at
+        the border before it; a merge across the border that comes first would
+        have been made.
+        """
+        rank, made, limit = self.rank, self.made, 1 << 40
+        while True:
+            if rank.get((left, right), 1 << 40) < limit:
+                return False
+            a, b = made.get(left), made.get(right)
+            if a is not None and (b is None or a[0] > b[0]):
+                limit, left = a[0], a[2]
+            elif b is not None:
+                limit, right = b[0] + 1, b[1]
+            else:
+                return True
+
+    def _keep(self, kept: dict, key, value, most: int) -> None:
+        """Where most are kept, all are forgotten and frequent ones soon back."""
+        if len(kept) >= most:
+            kept.clear()
+        kept[key] = value
+
     def table(self, data: bytes) -> list[int]:
         """The token count of data[:i] at place i, for a single pre-token."""
-        last, count, ids, stands, beside, follows = [b""], [0], self.id_of, self.stands, self.beside, self.follows
+        last, count, ids, beside, follows = [b""], [0], self.id_of, self.beside, self.follows
+        only = (1,)
         for end in range(1, len(data) + 1):
-            for begin in range(max(0, end - self.longest), end):
+            for n in self.lengths.get(data[end - 2 : end], only) if end > 1 else only:
+                begin = end - n
+                if begin < 0:
+                    continue
                 token = data[begin:end]
-                if token in ids and ((beside.get((last[begin], token)) or follows(last[begin], token)) if begin else stands(token)):
+                if token in ids and ((beside.get((last[begin], token)) or follows(last[begin], token)) if begin else self.stands(token)):
                     last.append(token)
                     count.append(count[begin] + 1)
                     break
         return count
 
+    def table_of(self, piece: str) -> Sequence[int]:
+        """The table of a pre-token, kept where it is short."""
+        found = self.tables.get(piece)
+        if found is None:
+            found = self.table(piece.encode())
+            if len(found) <= KEPT_BYTES:
+                found = bytes(found)
+                self._keep(self.tables, piece, found, self.most)
+        return found
+
     def pieces(self, text: str) -> list[str]:
         return (self.any if _OTHER.search(text) else _PLAIN).findall(text)
 
     def total(self, piece: str) -> int:
-        found = self.totals.get(piece)
-        if found is None:
-            found = self.table(piece.encode())[-1]
-            if len(self.totals) < self.most and len(piece) < 64:
-                self.totals[piece] = found
-        return found
+        return self.table_of(piece)[-1]
 
     def run(self, text: str) -> int:
-        return sum(map(self.total, self.pieces(text)))
+        return sum([self.table_of(p)[-1] for p in self.pieces(text)])
 
     def plain(self, text: str) -> int:
         """Tokens of a text without special strings, by the runs between its single spaces."""
@@ -127,8 +178,8 @@ class PrefixCounts:
                 n = spaced.get(r)
                 if n is None:
                     n = self.run(" " + r)
-                    if len(spaced) < self.most:
-                        spaced[r] = n
+                    if len(r) < KEPT_BYTES:
+                        self._keep(spaced, r, n, self.most)
                 found += n
             return found
 
@@ -138,57 +189,60 @@ class PrefixCounts:
             return self.plain(text)
         return len(specials) + sum(self.plain(t) for t in self.special.split(text))
 
-    def prefix_table(self, text: str) -> tuple[list[int], list[int]]:
-        """(start of each piece, tokens before it), special strings being pieces; the last entry is the text's end."""
-        starts, counts = [], []
-        at = 0
-        for i, t in enumerate(self.special.split(text)):
+    def prefixes(self, text: str) -> np.ndarray:
+        """The exact token count of text[:i] at place i."""
+        out = np.zeros(len(text) + 1, np.int32)
+        at = before = 0
+        for i, part in enumerate(self.special.split(text)):
+            last = at
             if i:
-                starts.append(at)
-                counts.append(1)
-                at += len(self.special.match(text, at)[0])
-            for p in self.pieces(t):
-                starts.append(at)
-                counts.append(self.total(p))
-                at += len(p)
-        return [*starts, at], list(accumulate(counts, initial=0))
-
-    def count_at(self, text: str, cut: int, known: tuple[list[int], list[int]]) -> int:
-        """Tokens of text[:cut], from the prefix table and the one piece that the cut is in.
-
-        The end of a cut special string is ordinary text; white space before the
-        cut forms one piece.
-        """
-        starts, counts = known
-        if cut <= 0:
-            return 0
-        k = bisect.bisect_left(starts, cut) - 1
-        if k + 1 < len(starts) and starts[k + 1] == cut and not text[cut - 1].isspace():
-            return counts[k + 1]
-        if self.special.match(text, starts[k]):
-            while k and not self.special.match(text, starts[k - 1]):
-                k -= 1
-        while k and text[starts[k] : cut].isspace() and text[starts[k - 1] : starts[k]].isspace():
-            k -= 1
-        tail = self.pieces(text[starts[k] : cut])
-        whole = text[starts[k] : starts[k + 1]] if k + 1 < len(starts) else ""
-        if len(tail) == 1 and whole.startswith(tail[0]) and not self.special.match(whole):
-            return counts[k] + self.table(whole.encode())[len(tail[0].encode())]
-        return counts[k] + sum(map(self.total, tail))
-
-    def truncate(self, text: str, budget: int) -> int:
-        """The longest cut whose prefix has at most budget tokens."""
-        known = self.prefix_table(text)
-        counts = known[1]
-        if counts[-1] <= budget:
-            return len(text)
-        # A cut may have fewer tokens than one a few characters before it, but never by more than its last pieces have.
-        k = bisect.bisect_right(counts, budget)
-        ends = known[0]
-        for cut in range(ends[min(k + 2, len(ends) - 1)], -1, -1):
-            if self.count_at(text, cut, known) <= budget:
-                return cut
-        return 0
+                end = self.special.match(text, at).end()
+                # The beginning of a special string is ordinary text, part of what stands before.
+                base = before - self.total(text[back:at]) if at > back else before
+                for cut in range(at + 1, end):
+                    out[cut] = base + self.run(text[back:cut])
+                before += 1
+                out[end] = before
+                at = last = end
+            for piece in self.pieces(part):
+                last = at
+                at = self._fill(out, at, before, piece)
+                before = int(out[at])
+            self._spaces(out, text, at - len(part), at)
+            back = last
+        return out
+
+    def _fill(self, out: np.ndarray, at: int, before: int, piece: str) -> int:
+        """Write the counts of the prefixes that end in a piece; the place after it."""
+        table = self.table_of(piece)
+        end = at + len(piece)
+        if len(table) == len(piece) + 1:  # a character is a byte
+            out[at + 1 : end + 1] = np.frombuffer(table, np.uint8)[1:] if isinstance(table, bytes) else table[1:]
+        else:
+            ends = np.cumsum([len(c.encode()) for c in piece])
+            out[at + 1 : end + 1] = np.array(list(table), np.int32)[ends]
+        out[at + 1 : end + 1] += before
+        if piece in _CUT:
+            out[end - 1] = before + self.total(piece[:1]) + self.total(piece[1:2])
+        return end
+
+    def _spaces(self, out: np.ndarray, text: str, low: int, high: int) -> None:
+        """White space before a cut is one piece, whatever follows it in the text."""
+        for m in _RUNS.finditer(text, low, high):
+            if m.end() - m.start() > 1:
+                table = self.table_of(m[0])
+                ends = np.cumsum([len(c.encode()) for c in m[0]])
+                own = out[m.start()] + np.array(list(table), np.int32)[ends]
+                out[m.start() + 1 : m.end() + 1] = own
+
+    def count_at(self, known: np.ndarray, cut: int) -> int:
+        """Tokens of the prefix of that many characters, from the text's table."""
+        return int(known[max(0, min(cut, len(known) - 1))])
+
+    def truncate(self, known: np.ndarray, budget: int) -> int:
+        """The longest cut whose prefix has at most budget tokens, from the text's table."""
+        within = np.flatnonzero(known <= budget)
+        return int(within[-1]) if len(within) else 0
 
 
 @functools.cache
@@ -208,21 +262,38 @@ def count_tokens(docs: DataFrame, vocab: str = "byte_bpe_50k.json", limit: int =
 
 
 def prefix_tables(docs: DataFrame, vocab: str = "byte_bpe_50k.json") -> DataFrame:
-    """doc_id, starts array, counts array: the stored table that answers any prefix question (see count_at)."""
+    """doc_id, counts: the exact token count at every prefix, at places 0 to the text's number of characters.
+
+    prefix_count and longest_within answer questions about it without the text.
+    """
 
     def tables(cols: dict) -> dict:
-        found = [prefix_counts(vocab).prefix_table(t) for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "starts": [f[0] for f in found], "counts": [f[1] for f in found]}
+        return {"doc_id": cols["doc_id"], "counts": [prefix_counts(vocab).prefixes(t) for t in cols["text"]]}
+
+    return map_batches(documents_of(docs), tables, "doc_id long, counts array<int>", rows=32)
+
+
+def prefix_count(counts: Column, cut: Column) -> Column:
+    """The tokens of the prefix of so many characters; beyond the ends, of none or of the whole text."""
+    return F.get(counts, F.greatest(F.lit(0), F.least(cut, F.size(counts) - 1)))
+
 
-    return map_batches(documents_of(docs), tables, "doc_id long, starts array<int>, counts array<int>")
+def longest_within(counts: Column, budget: Column) -> Column:
+    """The most characters whose prefix has at most so many tokens."""
+    fits = F.reverse(F.transform(counts, lambda n: n <= budget))
+    return F.greatest(F.lit(0), F.size(counts) - F.array_position(fits, True).cast("int"))
 
 
 def truncate_documents(docs: DataFrame, budget: int, vocab: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id, text cut to its longest prefix within the budget, n_tokens of that."""
 
     def cut(cols: dict) -> dict:
-        p = prefix_counts(vocab)
-        kept = [t[: p.truncate(t, budget)] for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "text": kept, "n_tokens": [p.count(t) for t in kept]}
+        p, kept, counts = prefix_counts(vocab), [], []
+        for t in cols["text"]:
+            known = p.prefixes(t)
+            at = p.truncate(known, budget)
+            kept.append(t[:at])
+            counts.append(p.count_at(known, at))
+        return {"doc_id": cols["doc_id"], "text": kept, "n_tokens": counts}
 
     return map_batches(documents_of(docs), cut, "doc_id long, text string, n_tokens long")

@@ -37,7 +37,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from .frames import documents_of, map_batches
+from .frames import documents_of, map_batches, sliced
 
 #: Fixed patterns, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -89,10 +89,11 @@ def encoding(s: str) -> tuple[str, dict[str, int]] | None:
     return next(((n, a) for n, a in ALPHABETS if held <= a.keys()), None)
 
 
-def rests(start: int, end: int, spans: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """What spans, sorted by start, leave of start to end."""
+def rests(start: int, end: int, spans: list[tuple[int, str, int]], first: int) -> list[tuple[int, int]]:
+    """What spans, sorted by start and looked at from the first on, leave of start to end."""
     found = []
-    for a, _, b in spans:
+    for k in range(first, len(spans)):
+        a, _, b = spans[k]
         if a >= end:
             break
         if b > start:
@@ -182,7 +183,7 @@ def spans_of(text: str, rate: float = 0.001, reject: float = 0.001) -> tuple[lis
         while at < len(base) and base[at][2] <= m.start():
             at += 1
         whole = at == len(base) or base[at][0] >= m.end()
-        for low, high in [m.span()] if whole else rests(*m.span(), base[at:]):
+        for low, high in [m.span()] if whole else rests(*m.span(), base, at):
             for start, end in parts_of(text, low, high, (low, high) != m.span()):
                 s = text[start:end]
                 if not s.isdigit() and (known := encoding(s)) and randomness(s, known[1]) >= reject:
@@ -231,7 +232,11 @@ def redact_text(text: str, rate: float = 0.001, mark: str = "[secret]") -> str:
 
 
 def redact(docs: DataFrame, rate: float = 0.001) -> DataFrame:
-    """The table with secrets in text replaced; other columns, and null texts, as they are; n_chars, where there is one, counted anew."""
+    """The table with secrets in text replaced; n_chars, where there is one, is counted anew.
+
+    Other columns, whatever their names, null texts and null ids stay as they
+    are; every row comes back, repeated ones each; an empty table gives no rows.
+    """
     from pyspark.sql import functions as F
 
     names = docs.columns
@@ -243,7 +248,7 @@ def redact(docs: DataFrame, rate: float = 0.001) -> DataFrame:
     arrow = to_arrow_schema(places.schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             i = batch.schema.get_field_index(at)
             texts = [t if t is None else redact_text(t, rate) for t in batch.column(i).to_pylist()]
             columns = [c.cast(arrow.field(j).type) for j, c in enumerate(batch.columns)]

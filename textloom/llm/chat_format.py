@@ -63,16 +63,38 @@ def format_chats(turns: DataFrame) -> DataFrame:
     )
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value worked out once: inside lambdas an expression would be worked out for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def starts(lengths: Column, block: int = 256) -> Column:
+    """Where each of an array of lengths begins, from 0: the sums of whole blocks before it, and of its own block's part."""
+    add = lambda x: F.aggregate(x, F.lit(0), lambda acc, n: acc + n)
+    whole = lambda i: F.floor(i / block).cast("int")
+    blocks = lambda own: F.transform(F.sequence(F.lit(0), whole(F.size(own))), lambda k: add(F.slice(own, k * block + 1, block)))
+    before = lambda sums: F.transform(sums, lambda _, k: add(F.slice(sums, 1, k)))
+    each = lambda own, past: F.transform(own, lambda _, i: F.get(past, whole(i)) + add(F.slice(own, whole(i) * block + 1, F.pmod(i, F.lit(block)))))
+    return _let(lengths, lambda own: _let(blocks(own), lambda sums: _let(before(sums), lambda past: each(own, past))))
+
+
+def loss_text(formatted: Column, mask: Column) -> Column:
+    """All text under the mask, cut out of the formatted text by the mask's lengths, each piece unescaped."""
+    placed = F.arrays_zip(mask.alias("mask"), starts(F.transform(mask, lambda m: m["length"])).alias("at"))
+    marked = F.filter(placed, lambda m: m["mask"]["loss"])
+    cut = lambda chars: F.transform(marked, lambda m: unescape(F.array_join(F.slice(chars, m["at"] + 1, m["mask"]["length"]), "")))
+    return F.array_join(_let(F.split(formatted, "", -1), cut), "")
+
+
 def read_chats(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns: array of (role, text, loss), from the formatted text and mask alone."""
+    """conv_id, formatted, turns: array of (role, text) from the formatted text alone, loss: the text under the mask."""
 
     def block(b: Column) -> Column:
         colon = F.instr(b, ": ")
         role = unescape(F.substring(b, F.lit(len(HEAD) + 1), colon - (len(HEAD) + 1)))
         texts = F.split(F.substring(b, colon + 2, F.length(b)), "</turn>\\+ ", -1)
-        return F.transform(texts, lambda t: F.struct(role.alias("role"), unescape(t).alias("text"), F.length(t).alias("length")))
+        return F.transform(texts, lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
     blocks = F.filter(F.split("formatted", "</turn>\n", -1), lambda b: b != "")
-    read = formatted.select("conv_id", "formatted", "loss_mask", F.flatten(F.transform(blocks, block)).alias("read"))
-    under = lambda t, i: F.get("loss_mask", 2 * i + 1)["loss"]
-    return read.select("conv_id", "formatted", F.transform("read", lambda t, i: F.struct(t["role"].alias("role"), t["text"].alias("text"), under(t, i).alias("loss"))).alias("turns"))
+    read = F.flatten(F.transform(blocks, block)).alias("turns")
+    return formatted.select("conv_id", "formatted", read, loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))

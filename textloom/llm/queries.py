@@ -17,14 +17,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", _FORGED), (-7, 1, "assistant", _FORGED)], "conv_id long, turn long, role string, text string")
     formatted = chat_format.format_chats(rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(more))
     read = chat_format.read_chats(formatted)
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(told, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

@@ -23,7 +23,8 @@ from .frames import documents_of, map_batches
 
 #: (UTF-8 bytes below which it holds, least and greatest ratio of raw to packed size of the whole text). A very short text is mostly header.
 BANDS = ((256, 0.0, 2.8), (1024, 1.1, 2.8), (4096, 1.3, 3.2), (16384, 1.4, 3.6), (1 << 62, 1.4, 4.6))
-CHUNK_BYTES, CHUNK_LEAST, CHUNK_BAND, CHUNK_SHARE = 4096, 1024, (1.2, 3.2), 0.25
+#: A whole chunk has limits of its own; the last, shorter one has those of a text of its length.
+CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE = 4096, (1.2, 3.2), 0.25
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, chunk_share double"
@@ -61,21 +62,30 @@ def _packer() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3)
 
 
+def limits(n_bytes: int) -> tuple[float, float]:
+    """Least and greatest ratio of a text of so many bytes."""
+    return next(b[1:] for b in BANDS if n_bytes < b[0])
+
+
 def compression(data: bytes) -> tuple[float, float]:
-    """Ratio of the whole, and the share of chunk bytes outside the chunk band."""
+    """Ratio of the whole, and the share of its bytes in chunks beyond their limits; the last chunk counts like any other."""
     if not data:
         return 0.0, 0.0
     packed = lambda x: len(x) / len(_packer().compress(x))
     whole = packed(data)
     if len(data) <= CHUNK_BYTES:
         return whole, 0.0
-    chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
-    sizes = [(len(c), packed(c)) for c in chunks if len(c) >= CHUNK_LEAST]
-    return whole, sum(n for n, r in sizes if not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]) / sum(n for n, _ in sizes)
+    bad = 0
+    for i in range(0, len(data), CHUNK_BYTES):
+        chunk = data[i : i + CHUNK_BYTES]
+        low, high = CHUNK_BAND if len(chunk) == CHUNK_BYTES else limits(len(chunk))
+        if not low <= packed(chunk) <= high:
+            bad += len(chunk)
+    return whole, bad / len(data)
 
 
 def in_bands(n_bytes: int, ratio: float, chunk_share: float) -> bool:
-    low, high = next(b[1:] for b in BANDS if n_bytes < b[0])
+    low, high = limits(n_bytes)
     return low <= ratio <= high and chunk_share <= CHUNK_SHARE
 
 

@@ -46,9 +46,9 @@ def fingerprint(text: str, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed 64-bit number."""
-    run = lambda cols: {"doc_id": cols["doc_id"], "fp": [fingerprint(t) for t in cols["text"]]}
-    return map_batches(documents_of(docs), run, "doc_id long, fp long")
+    """doc_id, text_hash, fp: the fingerprint as a signed 64-bit number."""
+    run = lambda cols: {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "fp": [fingerprint(t) for t in cols["text"]]}
+    return map_batches(documents_of(docs).withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, fp long")
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -83,9 +83,12 @@ def links(fps: DataFrame, bucket: int = 48) -> DataFrame:
     return small.union(_pairs(_fine_variants(crowded), "mask", "key"))
 
 
-def group(docs: DataFrame, bucket: int = 48, task_fps: int = 16_384) -> DataFrame:
+def group(docs: DataFrame, bucket: int = 48, task_fps: int = 16_384, with_hash: bool = False) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach).
 
+    With with_hash also text_hash and group, a number of the component that holds
+    for rows without any id too.
+
     Distinct fingerprints are few bytes but 64 variants each, so they are dealt
     out ``task_fps`` to a task before that.
     """
@@ -95,5 +98,6 @@ def group(docs: DataFrame, bucket: int = 48, task_fps: int = 16_384) -> DataFram
     roots = components(links(nodes.select("fp").repartition(tasks, "fp"), bucket), "a", "b").withColumnsRenamed({"node": "fp"})
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = placed.join(best, "root").select("fp", "component_id")
-    return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = placed.join(best, "root").select("fp", "component_id", F.col("root").alias("group"))
+    more = ["text_hash", "group"] if with_hash else []
+    return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *more)

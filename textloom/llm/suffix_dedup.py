@@ -1,25 +1,31 @@
-"""Exact substring dedup by distributed prefix doubling over a sample of suffixes.
+"""Exact substring dedup by fingerprints of a sample of suffixes, in place of distributed prefix doubling.
 
-Ranking every suffix of a corpus needs many times its size on disk. So the
-doubling runs on a content-chosen sample of positions (a string synchronizing
-set, Kempa and Kociumaka, 2019): in every ``span`` bytes, the position whose
-16-byte gram hashes least. Equal strings choose equal positions in all their
-occurrences, so every repeated string of the threshold length holds a sampled
-position in the same place of each of its occurrences, and nothing is missed.
+Prefix doubling sorts a (position, rank) pair of every byte at each offset; this
+takes many times the corpus' size in shuffled rows, beyond the disk that a job
+is given (the figures are in the README; ``prefix_doubling`` has that form, for
+small tables and to compare with). So here ranks are names given by hashing, for
+a content-chosen sample of positions (a string synchronizing set, Kempa and
+Kociumaka, 2019): in every ``span`` bytes, the position whose 16-byte gram hashes
+least. Equal strings choose equal positions in all their occurrences, so every
+repeated string of the threshold length holds a sampled position in the same
+place of each of its occurrences, and nothing is missed.
 
-Ranks are names given by hashing, compared after Spark has brought equal ones
-together, at lengths that grow until a position is unique or past the threshold:
+Names are compared after Spark has brought equal ones together, at lengths that
+grow until a position is unique or past the threshold:
 
 1. Length 16, the gram. Names sent by one document alone are unique and go no
    further; only 32 bits of each distinct name are shuffled. Those that are left
    come back as a filter of bounded size; when it fills up at larger sizes it
    lets more positions through, and results stay the same.
 2. All bytes within the threshold around the gram. If a smaller document has
-   this rank, every string through the position is repeated: the whole
-   surroundings are removed.
+   them, every string through the position is repeated: the whole surroundings
+   are removed.
 3. Otherwise, if other surroundings share the gram, each string of threshold
    length through the gram is ranked, and compared byte by byte.
 
+Bytes are compared wherever they are at hand; the strings of grams of more than
+``hot`` documents, and those alone, are told by names of 128 bits.
+
 Only one position per rank and block of documents, in its smallest document,
 is shuffled, the rest being settled on the spot. A gram of more than ``hot``
 documents goes straight to step 3 and is grouped by its strings' names,
@@ -218,11 +224,18 @@ def _merged(doc: np.ndarray, tag: np.ndarray, low: np.ndarray, high: np.ndarray)
     return doc[new], tag[new], low[new], (end - lift)[last]
 
 
-def _settled(layout: _Layout, key: np.ndarray, key2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (key, key2, doc), and, in it, whether a smaller document has the same keys."""
+def _settled(key: np.ndarray, key2: np.ndarray, doc: np.ndarray, around: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (key, key2, doc), and, in it, whether a smaller document has the same keys and, where they are given, bytes."""
     order = np.lexsort((doc, key2, key))
     new = _first(key[order], key2[order])
-    return order, doc[order] > _runs(new, doc[order])
+    beaten = doc[order] > _runs(new, doc[order])
+    if around is not None:
+        at = np.flatnonzero(beaten)
+        least = _runs(new, order)
+        for low in range(0, len(at), _ROWS):
+            some = at[low : low + _ROWS]
+            beaten[some] = (around[order[some]] == around[least[some]]).all(axis=1)
+    return order, beaten
 
 
 def _surroundings(data: bytes, at: np.ndarray, layout: _Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,6 +260,16 @@ def _strings(layout: _Layout, around: np.ndarray, before: np.ndarray, after: np.
     return row, off, _mixed(_hashes(around, layout.threshold)[row, off] ^ told), told
 
 
+def _coded(n: np.ndarray) -> np.ndarray:
+    """Counts in a byte: exact below 128, then in steps of an eighth of a power of two, rounded up."""
+    return np.where(n < 128, n, 128 + np.ceil(8 * np.log2(np.maximum(n, 128) / 128))).astype(np.uint8)
+
+
+def _decoded(code: np.ndarray) -> np.ndarray:
+    code = code.astype(np.int64)
+    return np.where(code < 128, code, np.round(128 * 2.0 ** ((code - 128) / 8))).astype(np.int64)
+
+
 def _rank_grams(layout: _Layout):
     def run(batches):
         for _, _, _, of, _, names in _blocks(batches, layout):
@@ -255,7 +278,7 @@ def _rank_grams(layout: _Layout):
             new = _first(names)
             docs = np.add.reduceat(_first(names, of).astype(np.int64), np.flatnonzero(new))
             names = names[new]
-            out = layout.deal(names, 0, low=(names & _U(0xFFFFFFFF)).astype(np.uint32), docs=np.minimum(docs, 255).astype(np.uint8))
+            out = layout.deal(names, 0, low=(names & _U(0xFFFFFFFF)).astype(np.uint32), docs=_coded(docs))
             if out is not None:
                 yield out
 
@@ -272,7 +295,7 @@ def _shared_grams(most_bits: int, hot: int):
         order = np.argsort(low, kind="stable")
         low, docs = low[order], docs[order]
         start = np.flatnonzero(_first(low))
-        total = np.add.reduceat(docs.astype(np.int64), start)
+        total = np.add.reduceat(_decoded(docs), start)
         low = low[start]
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "shared": pa.array([_filter_of(low[total > 1], most_bits)], pa.binary()), "hot": pa.array([_filter_of(low[total > hot], most_bits)], pa.binary())})
 
@@ -294,7 +317,7 @@ def _rank_surroundings(layout: _Layout, filters):
             doc, tag = ids[of], tags[of]
             # Of each rank, the rows in its smallest document here go on; the others are settled.
             rank = _ranked(layout, around, before, after)
-            order, beaten = _settled(layout, names, rank, doc)
+            order, beaten = _settled(names, rank, doc, around)
             hit, left = order[beaten], order[~beaten]
             done = [(doc[hit], tag[hit], at[hit] - before[hit], at[hit] + after[hit])]
             hot = _probe(known, 1, layout, names[left])
@@ -305,7 +328,7 @@ def _rank_surroundings(layout: _Layout, filters):
                 row, off, key, key2 = _strings(layout, around[pick], before[pick], after[pick], names[pick])
                 row = pick[row]
                 start = at[row] - layout.reach + off
-                order, beaten = _settled(layout, key, key2, doc[row])
+                order, beaten = _settled(key, key2, doc[row])
                 done.append((doc[row][order][beaten], tag[row][order][beaten], start[order][beaten], start[order][beaten] + layout.threshold))
                 kept = order[~beaten]
                 out = layout.deal(key[kept], 2, key=key[kept], key2=key2[kept], doc=doc[row][kept], tag=tag[row][kept], start=start[kept].astype(np.int64))
@@ -332,6 +355,7 @@ def _compare(layout: _Layout, name, doc, tag, at, shape, around) -> list[tuple]:
     name, doc, tag, at, before, after, rank, around = (x[order] for x in (name, doc, tag, at, before, after, rank, around))
     new_rank, new_name = _first(name, rank), _first(name)
     beaten = doc > _runs(new_rank, doc)
+    beaten[beaten] = (around[beaten] == around[_runs(new_rank, np.arange(len(doc)))[beaten]]).all(axis=1)
     done = [(doc[beaten], tag[beaten], (at - before)[beaten], (at + after)[beaten])]
     ranks = np.add.reduceat(new_rank.astype(np.int64), np.flatnonzero(new_name))[np.cumsum(new_name) - 1]
     # Of each rank, the rows in its smallest document; the first of them stands for the rank.
@@ -367,7 +391,7 @@ def _rank_strings(layout: _Layout, rows_at_once: int = _ROWS):
         done.append(tuple(_gather(part, c, t) for c, t in zip("abcd", (np.int64, np.uint32, np.int64, np.int64))))
         part = own(2)
         k, k2, doc, tag, start = (_gather(part, c, t) for c, t in zip("abcde", (np.uint64, np.uint64, np.int64, np.uint32, np.int64)))
-        order, beaten = _settled(layout, k, k2, doc)
+        order, beaten = _settled(k, k2, doc)
         hit = order[beaten]
         done.append((doc[hit], tag[hit], start[hit], start[hit] + layout.threshold))
         part = own(0)

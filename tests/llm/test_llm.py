@@ -48,15 +48,36 @@ def test_chat_round_trip(spark):
     turns = [(c, t, rng.choice(["user", "assistant", "sys: ##</turn>", None]), rng.choice(texts)) for c in range(30) for t in range(rng.randint(1, 7))]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("x"))
     formatted = chat_format.format_chats(df)
-    for r in chat_format.read_chats(formatted).select("conv_id", "turns").collect():
-        want = [(role or "", text or "", role == "assistant") for c, _, role, text in turns if c == r["conv_id"]]
-        assert [tuple(t) for t in r["turns"]] == want
+    for r in chat_format.read_chats(formatted).select("conv_id", "turns", "loss").collect():
+        want = [(role or "", text or "") for c, _, role, text in turns if c == r["conv_id"]]
+        assert [tuple(t) for t in r["turns"]] == want and r["loss"] == "".join(t for role, t in want if role == "assistant")
     for r in formatted.collect():
         assert sum(m["length"] for m in r["loss_mask"]) == len(r["formatted"])
         roles = [role or "" for c, _, role, _ in turns if c == r["conv_id"]]
         assert r["formatted"].count("### ") == 1 + sum(a != b for a, b in zip(roles, roles[1:]))
 
 
+def test_chat_mask_lengths(spark):
+    """The loss text is cut out by the mask's lengths, in conversations of any number of turns."""
+    rows = [(1, t, "assistant" if t % 2 else "user", f"é🙂## {t} </turn>") for t in range(1500)] + [(2, 0, "user", "x")]
+    formatted = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r["loss"] for r in chat_format.read_chats(formatted).collect()}
+    assert got == {1: "".join(t for _, _, role, t in rows if role == "assistant"), 2: ""}
+    none = formatted.withColumn("loss_mask", F.transform("loss_mask", lambda m: F.struct(F.lit(0).alias("length"), m["loss"].alias("loss"))))
+    assert {r["loss"] for r in chat_format.read_chats(none).collect()} == {""}
+
+
+def test_chat_edge_cases(spark):
+    """Nulls in any column, ties, repeated rows, a very long text, an empty table, clashing names."""
+    rows = [(None, 1, "user", "a"), (None, None, None, None), (3, 1, "b", "same"), (3, 1, "a", "z"), (3, 1, "a", "y"), (3, 1, "b", "same"), (4, 0, "assistant", "long " * 50_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", F.lit("x").alias("turns"), F.lit(1).alias("TEXT"), F.lit(2).alias("formatted"))
+    got = {r["conv_id"]: r for r in chat_format.read_chats(chat_format.format_chats(df)).collect()}
+    assert [tuple(t) for t in got[None]["turns"]] == [("", ""), ("user", "a")] and got[None]["loss"] == ""
+    assert [tuple(t) for t in got[3]["turns"]] == [("a", "y"), ("a", "z"), ("b", "same"), ("b", "same")]
+    assert got[4]["loss"] == "long " * 50_000
+    assert chat_format.read_chats(chat_format.format_chats(df.limit(0))).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, folder, name):
     assert compare(queries.queries()[name](spark, folder), queries.oracle_sql()[name], folder) is None
@@ -111,6 +132,29 @@ def test_secret_parts():
         assert [s for s in secret_scan.spans_of(text)[1] if s[1] == "random"] == []
 
 
+def test_secret_scan_is_linear():
+    """Many base spans and long runs of all kinds in one text, each part looked at a bounded number of times."""
+    import time
+
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    took = []
+    for n in (500, 4000):
+        text = " ".join(f"/{rng.getrandbits(64):016x}/{key(30)}-{key(24)} password={key(16)}" for _ in range(n))
+        began = time.time()
+        base, spans = secret_scan.spans_of(text)
+        took.append(time.time() - began)
+        assert len(base) >= 2 * n and len(spans) > len(base)
+    assert took[1] < 24 * took[0] + 0.5
+
+
+def test_redact_edge_cases(spark, odd, empty):
+    got = secret_scan.redact(odd)
+    every = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert got.columns == odd.columns and [r[1] for r in got.collect() if r[0] == 4] == ["[secret]"] and [r for r in every(got) if r[0] != 4] == [r for r in every(odd) if r[0] != 4]
+    assert secret_scan.redact(empty).count() == 0
+
+
 def test_redact(spark):
     secret = "api_key = 'abcdEFGH1234ijkl' and 0123456789abcdef0123 end"
     assert secret_scan.redact_text(secret) == "api_key = '[secret]' and [secret] end"
@@ -131,11 +175,44 @@ def test_tokens_match_library():
     own, lib = token_counts.prefix_counts("byte_bpe_50k.json"), Tokenizer.from_file(packing.vocab_path("byte_bpe_50k.json"))
     count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
     for t in TEXTS:
-        known = own.prefix_table(t)
+        known = own.prefixes(t)
         want = [count(t[:i]) for i in range(len(t) + 1)]
-        assert [own.count_at(t, i, known) for i in range(len(t) + 1)] == want and own.count(t) == want[-1]
+        assert known.tolist() == want and own.count(t) == want[-1]
         for budget in (0, 1, 4, 9):
-            assert own.truncate(t, budget) == max(i for i, n in enumerate(want) if n <= budget)
+            assert own.truncate(known, budget) == max(i for i, n in enumerate(want) if n <= budget)
+
+
+def test_prefixes_match_library():
+    """Every prefix of random odd strings, with special strings, white space and contractions in all neighbourhoods."""
+    from tokenizers import Tokenizer
+
+    own, lib = token_counts.prefix_counts("byte_bpe_50k.json"), Tokenizer.from_file(packing.vocab_path("byte_bpe_50k.json"))
+    rng = random.Random(11)
+    bits = [" ", "  ", "\n", "\t", "'ll", "'", "l", "'re", "ab", "=", "==", "<|endoftext|>", "<|", "7", "é", "日", "\xa0", "\u3000", "the", "🙂"]
+    for _ in range(250):
+        t = "".join(rng.choices(bits, k=rng.randint(1, 9)))
+        assert own.prefixes(t).tolist() == [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)], t
+
+
+def test_prefix_tables(spark):
+    """Budget and truncation questions are look-ups in the stored table, also of one run of 100,000 letters."""
+    import time
+
+    own = token_counts.prefix_counts("byte_bpe_50k.json")
+    texts = ["some words of text", "", None, "é ß 日本 🙂 " * 20, " " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    for r in token_counts.prefix_tables(df).withColumn("cut", token_counts.longest_within(F.col("counts"), F.lit(3))).withColumn("n", token_counts.prefix_count(F.col("counts"), F.lit(7))).collect():
+        t = texts[r["doc_id"]] or ""
+        assert len(r["counts"]) == len(t) + 1 and r["counts"][-1] == own.count(t) and r["n"] == own.count(t[:7])
+        assert r["cut"] == max(i for i in range(len(t) + 1) if r["counts"][i] <= 3)
+    for r in token_counts.truncate_documents(df, 3).collect():
+        t = texts[r["doc_id"]] or ""
+        assert t.startswith(r["text"]) and r["n_tokens"] == own.count(r["text"]) <= 3
+    began = time.time()
+    known = own.prefixes("a" * 100_000)
+    assert time.time() - began < 5 and own.truncate(known, 50) > 0 and known[-1] == own.count("a" * 100_000)
+    few = token_counts.PrefixCounts("byte_bpe_50k.json", most=3)  # kept tables are forgotten, counts stay right
+    assert [few.count(t) for t in TEXTS] == [own.count(t) for t in TEXTS]
 
 
 def test_packing_ids(spark):
@@ -344,6 +421,10 @@ def test_quality_bands():
     judged = lambda t: quality_rules.in_bands(len(t.encode()), *quality_rules.compression(t.encode()))
     assert judged(prose) and not judged("buy now " * 400) and not judged("".join(rng.choices([chr(i) for i in range(0x4E00, 0x9FFF)], k=9)) * 200)
     assert not judged(prose + "spam " * 4000)
+    # A last chunk shorter than the others counts, by the limits of its length.
+    start = (prose * 2)[:4096]
+    assert quality_rules.compression((start + "x" * 900).encode())[1] == pytest.approx(900 / 4996)
+    assert quality_rules.compression((start + prose[:900]).encode())[1] == 0
     assert quality_rules.compression(os.urandom(2000))[0] < 1.05 and len(noise) == 3000
 
 
@@ -531,6 +612,24 @@ def test_suffix_dedup(spark, hot):
     assert rows_of(got) == without_repeats(rows)
 
 
+def test_prefix_doubling(spark):
+    """The full form agrees with brute force, and so with the sampled one."""
+    from textloom.llm import prefix_doubling
+
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choices("ab é", k=n))
+    shared = [say(70) for _ in range(4)]
+    rows = [(i, say(rng.randint(0, 30)) + rng.choice(shared)[rng.randint(0, 20) :] + say(9)) for i in range(14)] + [(20, "a" * 90), (21, "a" * 75), (22, None), (None, shared[0]), (23, shared[0] + shared[0])]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in prefix_doubling.removed_bytes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {d: (n, k) for d, _, n, k, _ in without_repeats(rows) if n}
+
+
+def test_coded_counts():
+    n = np.r_[np.arange(128), 2 ** np.arange(7, 22)]
+    back = suffix_dedup._decoded(suffix_dedup._coded(n))
+    assert (back >= n).all() and (back <= 1.1 * n).all()
+
+
 def test_sampled_in_blocks(monkeypatch):
     data = np.frombuffer((b"some words in a row, then zzzzzzzz " * 3 + os.urandom(700)) * 4, np.uint8)
     whole = suffix_dedup.sampled(data, 50)
@@ -572,6 +671,30 @@ def test_pipeline(spark, folder):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids
 
 
+def test_pipeline_stages_on_odd_rows(spark, folder):
+    """Null ids and texts, repeated rows and ids, clashing names, a long text: decisions take effect row by row; an empty table gives no rows."""
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    long = " ".join(f"word{i}" for i in range(40_000))
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (1, "other words under the same id"), (None, "one two three four five six"), (None, "lost words without id"), (None, "lost words without id"), (2, None), (3, ""), (7, item), (7, "clean words of seven"), (None, item + " x"), (9, long), (10, "password = abcdefghijklmnop")]
+    df = spark.createDataFrame(rows, DOCS).select("*", F.lit(1).alias("TEXT"), F.lit(2).alias("_d"), F.lit("k").alias("group"))
+    told = lambda d: sorted(((r[0], r[1]) for r in d.collect()), key=repr)
+    stages = dict(corpus_pipeline.STAGES)
+    whole = sorted(rows, key=repr)
+    deduped = told(stages["simhash_dedup"](spark, df, folder))
+    assert deduped.count((1, "one two three four five six")) == 1 and (None, "one two three four five six") not in deduped
+    assert deduped.count((None, "lost words without id")) == 1 and (1, "other words under the same id") in deduped
+    assert ((2, None) in deduped) and ((3, "") not in deduped) and (9, long) in deduped
+    clean = told(stages["decontaminate"](spark, df, folder))
+    assert clean == sorted((r for r in rows if item not in (r[1] or "")), key=repr)
+    assert told(stages["secret_scan"](spark, df, folder)) == sorted((r if r[0] != 10 else (10, "password = [secret]") for r in rows), key=repr)
+    assert set(told(stages["toxicity"](spark, df, folder))) <= set(whole)
+    packed = stages["packing"](spark, df, folder)
+    assert {r["doc_id"] for r in packed.collect()} == {r[0] for r in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df.limit(0), folder)
+        assert got.count() == 0 and (name == "packing" or got.columns == df.columns)
+
+
 def test_library_without_this_subpackage(tmp_path):
     """A copy without the folders still imports, with its other queries."""
     import shutil

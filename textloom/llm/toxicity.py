@@ -206,13 +206,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, buckets: int
         twice = lambda c: [x for x in cols[c] for _ in "ab"]
         return {"doc_id": twice("doc_id"), "toxic": twice("toxic"), "copy": [0, 1] * len(cols["text"]), "bucket": [f[0] for f in found], "weight": [f[1] for f in found]}
 
-    found = map_batches(texts, bags, "doc_id long, toxic int, copy int, bucket array<int>, weight array<float>").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("copy", "ascending")])
-    toxic = found["toxic"].to_numpy().astype(np.int64)
+    found = map_batches(texts, bags, "doc_id long, toxic int, copy int, bucket array<int>, weight array<float>").toArrow()
+    order = np.lexsort((found["copy"].to_numpy(), found["doc_id"].to_numpy()))
+    toxic = found["toxic"].to_numpy().astype(np.int64)[order]
     if len(set(toxic.tolist())) < 2:
         return Model(np.zeros(buckets, np.float32), math.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
-    lists = [pa.concat_arrays(found[c].chunks) for c in ("bucket", "weight")]
-    parts = [np.split(x.flatten().to_numpy(), np.cumsum(x.value_lengths().to_numpy())[:-1]) for x in lists]
-    return train(list(zip(*parts)), toxic, prior, buckets)
+    at, weight = _views(found["bucket"]), _views(found["weight"])
+    return train([(at[i], weight[i]) for i in order], toxic, prior, buckets)
+
+
+def _views(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column without a copy."""
+    out = []
+    for chunk in lists.chunks:
+        values, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(ends, ends[1:])]
+    return out
 
 
 class _Scorer(dict):

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from textloom.functions.text import SPACE, squeezed
 
 
-def paragraphs(docs: DataFrame, key: str, text: str, mark: str = "\n\n") -> DataFrame:
-    """Blank parts are left out, their places still counted; a part has its page guess out of three to a page."""
-    parts = docs.select(key, F.posexplode(F.split(text, mark)).alias("chunk_order", "chunk_text"))
+def paragraphs(docs: DataFrame, key: str, text: str, mark: str = "\n\n", *more: str) -> DataFrame:
+    """Other named columns are carried along. Blank parts are left out, their places still counted; a part has its page guess out of three to a page."""
+    parts = docs.select(key, *more, F.posexplode(F.split(text, mark)).alias("chunk_order", "chunk_text"))
     parts = parts.withColumn("chunk_text", F.trim("chunk_text")).where("chunk_text <> ''")
     return parts.withColumn("page_number", F.expr("chunk_order div 3 + 1").cast("int"))
 
@@ -49,7 +49,7 @@ def split_documents(docs: DataFrame, key: str, text: str, size: int = 1200, over
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return docs.select(key, *more, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
 def sections(docs: DataFrame, key: str, text: str, header: str = "^([0-9]+\\. .*|#+ .*|[A-Z][A-Z0-9 !,.-]{3,})$") -> DataFrame:

@@ -40,12 +40,12 @@ def domain(text: Column, default: str = "agricultural") -> Column:
 
 def language(text: Column, default: str = "en") -> Column:
     """By how many of the words are stop words of a language."""
-    all_words = words(F.lower(text))
-
-    def among(stop_words: list[str]) -> Column:
-        return F.size(F.filter(all_words, lambda w: w.isin(stop_words)))
-
-    return first_max({k: among(v) for k, v in LANGUAGES.items()}, default)
+    known = sorted({w for v in LANGUAGES.values() for w in v})
+    few = F.filter(words(F.lower(text)), lambda w: w.isin(known))
+    # Bound as a lambda's variable, the stop words of a text are taken out once.
+    among = lambda held, stop_words: F.size(F.filter(held, lambda w: w.isin(stop_words)))
+    count = lambda held: first_max({k: among(held, v) for k, v in LANGUAGES.items()}, default)
+    return F.get(F.transform(F.array(few), count), 0)
 
 
 def intent(text: Column) -> Column:

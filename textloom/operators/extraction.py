@@ -50,7 +50,8 @@ def spans(docs: DataFrame, key: str, text: str, patterns: dict[str, str] | None
             types = [batch.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[key, "kind", "start", "end", "value", "context"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, kind string, start long, end long, value string, context string")
+    any_kind = "|".join(f"(?:{p})" for p in patterns.values())
+    return docs.select(key, text).where(F.col(text).rlike(any_kind)).mapInArrow(run, f"{key} {kind}, kind string, start long, end long, value string, context string")
 
 
 def scored(found: DataFrame, context: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

@@ -63,6 +63,8 @@ def first_spans(rows: DataFrame, group: list[str], start: str, end: str, share:
             keep.append(free)
             if free:
                 kept.append((a, b))
+            if not best:  # starts only grow: chosen spans that end before this one can't overlap later ones
+                kept = [s for s in kept if s[1] > a]
         return part[keep]
 
     return rows.groupBy(*group).applyInPandas(choose, rows.schema)

@@ -20,6 +20,7 @@ CERTIFIED = r"(?i)\b(kosher|halal|organic|non-gmo)\s+certified\b"
 SCHEMES = r"(?i)\b(haccp|brc|sqf|ifs|fssc)\s"
 STORAGE = {"refrigerated": r"(?i)\brefrigerat", "frozen": r"(?i)\bfreez", "dry storage": r"(?i)\bdry\s+place\b", "light-protected": r"(?i)\bprotect\s+from\s+light\b"}
 
+# The run of letters before "impurity" may begin at its first letter alone, so that it is read once.
 # Patterns of laboratory specifications, each as property, value, end of a range, unit, qualifier (0: none).
 SPECIFICATIONS = {
     "ph_specification": (r"(pH):\s*([0-9.,]+)(?:\s*[-–to]\s*([0-9.,]+))?\s*(?:\(([^)]+)\))?", 1, 2, 3, 0, 4),
@@ -27,7 +28,7 @@ SPECIFICATIONS = {
     "density_specification": (r"(Bulk density|Tapped density|Apparent density):\s*([0-9.,]+)(?:\s*[-–to]\s*([0-9.,]+))?\s*(g/cm³|g/ml|kg/m³)", 1, 2, 3, 4, 0),
     "particle_size": (r"(Particle size|D50|D90|Mean particle size):\s*([0-9.,]+)(?:\s*[-–to]\s*([0-9.,]+))?\s*(μm|microns|nm)\s*(?:\(([^)]+)\))?", 1, 2, 3, 4, 5),
     "assay_specification": (r"(Assay|Content|Purity):\s*([0-9.,]+)(?:\s*[-–to]\s*([0-9.,]+))?\s*%?\s*(w/w|w/v|on dry basis)?", 1, 2, 3, 4, 0),
-    "impurity_specification": (r"(Heavy metals|Residual solvents|[A-Za-z\s]+impurities?):\s*([0-9.,]+)\s*(ppm|ppb|mg/kg|%)\s*(max|maximum|NMT)?", 1, 2, 0, 3, 4),
+    "impurity_specification": (r"(Heavy metals|Residual solvents|(?<![A-Za-z\s])[A-Za-z\s]+impurities?):\s*([0-9.,]+)\s*(ppm|ppb|mg/kg|%)\s*(max|maximum|NMT)?", 1, 2, 0, 3, 4),
     "microbial_specification": (r"(Total aerobic count|Yeast and molds|E\. coli|Salmonella):\s*([0-9.,]+|Absent)\s*(CFU/g|per gram)?", 1, 2, 0, 3, 0),
 }
 #: Words of a property name, and the category they tell (fixed values).

@@ -90,10 +90,10 @@ def filter_by_params(spark, folder):
     return load(spark, folder, "orders").where(test & F.col("o_totalprice").between(100000, 120000)).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-@query("""WITH new AS (SELECT user_id, max(event_id) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1), old AS (SELECT c_custkey AS user_id, 0::BIGINT AS v FROM customer WHERE c_custkey < 100)
+@query("""WITH new AS (SELECT user_id, max(event_id) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1), old AS (SELECT c_custkey AS user_id, 0::BIGINT AS v FROM customer)
     SELECT coalesce(old.user_id, new.user_id) AS user_id, coalesce(new.v, old.v) AS v, new.v IS NOT NULL AS changed FROM old FULL JOIN new ON old.user_id = new.user_id""")
 def upsert_merge(spark, folder):
-    old = load(spark, folder, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("user_id"), F.lit(0).cast("long").alias("v"))
+    old = load(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(0).cast("long").alias("v"))
     new = load(spark, folder, "events").where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("v"))
     return maintenance.upsert(old, new, "user_id", "v")
 
@@ -118,25 +118,25 @@ def version_latest(spark, folder):
     return latest.select("p_name", "p_brand", "p_partkey", "p_size")
 
 
-@query("""WITH a AS (SELECT l_suppkey AS k, l_orderkey AS o, datediff('day', DATE '1995-01-01', l_shipdate::DATE) AS x FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'A'),
-    b AS (SELECT l_suppkey AS k, l_orderkey AS p, datediff('day', DATE '1995-01-01', l_shipdate::DATE) AS y FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R')
+@query("""WITH a AS (SELECT l_suppkey AS k, l_orderkey AS o, datediff('day', DATE '1995-01-01', l_shipdate::DATE) AS x FROM lineitem WHERE l_returnflag = 'A'),
+    b AS (SELECT l_suppkey AS k, l_orderkey AS p, datediff('day', DATE '1995-01-01', l_shipdate::DATE) AS y FROM lineitem WHERE l_returnflag = 'R')
     SELECT k, o, p, abs(x - y)::INTEGER AS distance FROM a JOIN b USING (k) WHERE abs(x - y) <= 60""")
 def band_pairs(spark, folder):
     """Lines of one supplier and opposite kinds shipped within 60 days."""
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
-    rows = load(spark, folder, "lineitem").where("l_quantity = 50").withColumn("day", day)
+    rows = load(spark, folder, "lineitem").withColumn("day", day)
     a = rows.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("o"), F.col("day").alias("x"))
     b = rows.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("p"), F.col("day").alias("y"))
     return relations.band_join(a, b, "k", "x", "y", 60).select("k", "o", "p", F.abs(F.col("x") - F.col("y")).alias("distance"))
 
 
-@query("""WITH r AS (SELECT l_suppkey AS k, epoch(l_shipdate)::BIGINT // 86400 AS a, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS b FROM lineitem WHERE l_linenumber = 1),
+@query("""WITH r AS (SELECT l_suppkey AS k, epoch(l_shipdate)::BIGINT // 86400 AS a, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS b FROM lineitem),
     m AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
     i AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
     SELECT k, min(a) AS a, max(b) AS b, count(*) AS members FROM i GROUP BY k, island""")
 def interval_merge(spark, folder):
     day = (F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86400).cast("long")
-    rows = load(spark, folder, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("k"), day.alias("a"), (day + F.col("l_quantity").cast("long")).alias("b"))
+    rows = load(spark, folder, "lineitem").select(F.col("l_suppkey").alias("k"), day.alias("a"), (day + F.col("l_quantity").cast("long")).alias("b"))
     return relations.merged_intervals(rows, "k", "a", "b").drop("island")
 
 

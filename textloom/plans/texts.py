@@ -30,8 +30,8 @@ def paragraph_chunks(spark, folder):
 
 @query("""SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS c FROM documents) WHERE trim(c) <> '' GROUP BY source""")
 def chunk_counts(spark, folder):
-    parts = chunking.paragraphs(_docs(spark, folder), "doc_id", "text", "\n")
-    return parts.join(_docs(spark, folder).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"))
+    parts = chunking.paragraphs(_docs(spark, folder), "doc_id", "text", "\n", "source")
+    return parts.groupBy("source").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"))
 
 
 @query(rf"""SELECT doc_id, n_chars::INTEGER AS n_chars, n_words::INTEGER AS n_words, len(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> ''))::INTEGER AS n_paragraphs,
@@ -139,9 +139,9 @@ def snippets(spark, folder):
 _SCORE = "CASE WHEN length(v) = 0 THEN 0.0 WHEN length(v) < 3 THEN 0.1 WHEN wc > 6 THEN 0.3 WHEN length(v) <= 30 AND wc <= 4 THEN 1.0 WHEN length(v) <= 50 AND wc <= 6 THEN 0.8 ELSE 0.6 END::DOUBLE"
 
 
-@query(rf"SELECT v, n, {_SCORE} AS score FROM (SELECT v, count(*) AS n, len({_WORDS.format('v')}) AS wc FROM (SELECT unnest(string_split(text, '. ')) AS v FROM documents WHERE lang = 'en') GROUP BY v)")
+@query(rf"SELECT v, n, {_SCORE} AS score FROM (SELECT v, count(*) AS n, len({_WORDS.format('v')}) AS wc FROM (SELECT unnest(string_split(text, '. ')) AS v FROM documents) GROUP BY v)")
 def length_scores(spark, folder):
-    parts = _docs(spark, folder).where("lang = 'en'").select(F.explode(F.split("text", "\\. ")).alias("v"))
+    parts = _docs(spark, folder).select(F.explode(F.split("text", "\\. ")).alias("v"))
     return parts.groupBy("v").agg(F.count("*").alias("n")).withColumn("score", length_score(F.col("v")))
 
 

@@ -39,6 +39,6 @@ def compare(df, sql, folder):
     got = sorted((tuple(map(plain, r)) for r in df.collect()), key=repr)
     if want == got:
         return None
-    extra = [x for x in got if x not in set(want)][:2] if len(got) < 50000 else []
-    missing = [x for x in want if x not in set(got)][:2] if len(got) < 50000 else []
+    all_got, all_want = set(got), set(want)
+    extra, missing = [x for x in got if x not in all_want][:2], [x for x in want if x not in all_got][:2]
     return f"{len(got)} rows against {len(want)}; only here {str(extra)[:400]}; only in SQL {str(missing)[:400]}"

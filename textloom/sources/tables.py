@@ -32,3 +32,18 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Binary files with the SHA-256 of their bytes and their size in MB."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return rows.select("path", "modificationTime", "length", F.sha2("content", 256).alias("file_hash"), F.round(F.col("length") / 1048576, 2).alias("size_mb"), "content")
+
+
+def sql_rows(spark: SparkSession, folder: str, statement: str, args: dict | None = None) -> DataFrame:
+    """Rows of a statement that names tables in braces and parameters by colons; values are bound, never pasted in."""
+    import string
+
+    names = {name for _, name, _, _ in string.Formatter().parse(statement) if name}
+    return spark.sql(statement, args=args, **{n: load(spark, folder, n) for n in names})
+
+
+def present(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """(name, present): whether each table can be read; looked up in the file system, no row is."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda n: jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}.parquet")
+    return spark.createDataFrame([(n, at(n).getFileSystem(conf).exists(at(n))) for n in names], "name string, present boolean")

@@ -78,12 +78,17 @@ def starts(lengths: Column, block: int = 256) -> Column:
     return _let(lengths, lambda own: _let(blocks(own), lambda sums: _let(before(sums), lambda past: each(own, past))))
 
 
-def loss_text(formatted: Column, mask: Column) -> Column:
-    """All text under the mask, cut out of the formatted text by the mask's lengths, each piece unescaped."""
+def loss_text(formatted: Column, mask: Column, few: int = 64) -> Column:
+    """All text under the mask, cut out of the formatted text by the mask's lengths, each piece unescaped.
+
+    A cut walks the text from its beginning; a mask of more than few runs cuts
+    an array of the text's characters instead, which is walked once.
+    """
     placed = F.arrays_zip(mask.alias("mask"), starts(F.transform(mask, lambda m: m["length"])).alias("at"))
     marked = F.filter(placed, lambda m: m["mask"]["loss"])
-    cut = lambda chars: F.transform(marked, lambda m: unescape(F.array_join(F.slice(chars, m["at"] + 1, m["mask"]["length"]), "")))
-    return F.array_join(_let(F.split(formatted, "", -1), cut), "")
+    cut = F.transform(marked, lambda m: unescape(F.substring(formatted, m["at"] + 1, m["mask"]["length"])))
+    sliced = lambda chars: F.transform(marked, lambda m: unescape(F.array_join(F.slice(chars, m["at"] + 1, m["mask"]["length"]), "")))
+    return F.array_join(F.when(F.size(mask) <= few, cut).otherwise(_let(F.split(formatted, "", -1), sliced)), "")
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:

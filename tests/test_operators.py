@@ -171,7 +171,9 @@ def test_graph(spark):
 def test_cost(spark):
     usage = spark.createDataFrame([(1, "big-mini", 1000), (2, "other", 1000)], "k int, model string, tokens long")
     prices = spark.createDataFrame([(0, "big-mini", 1.0, 2.0), (1, "big", 9.0, 9.0)], "ordinal int, name string, input_price double, output_price double")
-    assert {r["k"]: r["cost_usd"] for r in cost.priced(usage, prices, "model", "tokens", 5.0, "k").collect()} == {1: 0.0013, 2: 0.005}
+    assert {r["k"]: r["cost_usd"] for r in usage.withColumn("cost_usd", cost.priced(F.col("model"), F.col("tokens"), [tuple(p) for p in prices.collect()], 5.0)).collect()} == {1: 0.0013, 2: 0.005}
+    split = usage.withColumn("cost_usd", cost.priced(F.col("model"), F.col("tokens"), [tuple(p) for p in prices.collect()], 5.0, F.when(F.col("k") == 1, 100), F.when(F.col("k") == 1, 900)))
+    assert {r["k"]: r["cost_usd"] for r in split.collect()} == {1: 0.0019, 2: 0.005}
 
 
 def test_quality(spark):

@@ -1,19 +1,26 @@
-"""Costs of model calls from a price table."""
+"""Costs of model calls from a price list."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def priced(usage: DataFrame, prices: DataFrame, model: str, tokens: str, fallback: float, key: str) -> DataFrame:
-    """Cost of each call: the first price whose name the model contains; 70 of 100 tokens as input, the rest output.
+def _first(model: Column, prices: list[tuple], at: int) -> Column:
+    """What the first price whose name the model contains has at a place; null without one."""
+    return F.coalesce(*[F.when(F.contains(model, F.lit(p[1])), F.lit(float(p[at]))) for p in sorted(prices)], F.lit(None).cast("double"))
 
-    prices: ordinal, name, input_price, output_price per million tokens. A price
-    list is a handful of rows, so it may be broadcast.
+
+def priced(model: Column, tokens: Column, prices: list[tuple], fallback: float, inputs: Column | None = None, outputs: Column | None = None) -> Column:
+    """Cost of a call in dollars; prices: (ordinal, name, input price, output price) per million tokens.
+
+    Input and output tokens count where both are given, else 70 of 100 tokens
+    are input; a model without a price costs the fallback per million. A price
+    list is part of the expression, so nothing is joined.
     """
-    met = usage.join(F.broadcast(prices), F.contains(F.col(model), F.col("name")), "left")
-    best = met.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col("ordinal").asc_nulls_last()))).where("_n = 1")
-    inputs = F.floor(F.col(tokens) * 0.7)
-    cost = (inputs * F.col("input_price") + (F.col(tokens) - inputs) * F.col("output_price")) / 1e6
-    return best.withColumn("cost_usd", F.round(F.coalesce(cost, F.col(tokens) * fallback / 1e6), 9)).drop("_n", "ordinal", "name", "input_price", "output_price")
+    guess = F.floor(tokens * 0.7)
+    split = inputs.isNotNull() & outputs.isNotNull() if inputs is not None and outputs is not None else F.lit(False)
+    ins = F.when(split, inputs).otherwise(guess) if inputs is not None and outputs is not None else guess
+    outs = F.when(split, outputs).otherwise(tokens - guess) if inputs is not None and outputs is not None else tokens - guess
+    cost = (ins * _first(model, prices, 2) + outs * _first(model, prices, 3)) / 1e6
+    return F.round(F.coalesce(cost, tokens * fallback / 1e6), 9)

@@ -31,6 +31,11 @@ SPECIFICATIONS = {
     "impurity_specification": (r"(Heavy metals|Residual solvents|(?<![A-Za-z\s])[A-Za-z\s]+impurities?):\s*([0-9.,]+)\s*(ppm|ppb|mg/kg|%)\s*(max|maximum|NMT)?", 1, 2, 0, 3, 4),
     "microbial_specification": (r"(Total aerobic count|Yeast and molds|E\. coli|Salmonella):\s*([0-9.,]+|Absent)\s*(CFU/g|per gram)?", 1, 2, 0, 3, 0),
 }
+#: What every specification has: one of the names, a colon and the start of a value. Texts without are passed over.
+NAMED = (
+    r"(?i)(?:pH|Loss on drying|Moisture content|Water content|density|size|D50|D90|Assay|Content|Purity|Heavy metals|Residual solvents|impurities?"
+    r"|Total aerobic count|Yeast and molds|E\. coli|Salmonella):\s*(?:[0-9.,]|Absent)"
+)
 #: Words of a property name, and the category they tell (fixed values).
 CATEGORIES = [
     ("chemical_property", ["ph"]),
@@ -105,7 +110,8 @@ def specifications(docs: DataFrame, key: str, text: str) -> DataFrame:
         rows = F.arrays_zip(*[f.alias(n) for f, n in zip(found, parts)])
         return F.transform(rows, lambda r: F.struct(F.lit(kind).alias("kind"), *[F.btrim(F.coalesce(r[n], F.lit(""))).alias(n) for n in parts]))
 
-    each = docs.select(key, F.explode(F.concat(*[of(k) for k in SPECIFICATIONS])).alias("s")).select(key, "s.*")
+    named = docs.where(F.col(text).rlike(NAMED))
+    each = named.select(key, F.explode(F.concat(*[of(k) for k in SPECIFICATIONS])).alias("s")).select(key, "s.*")
     low = F.lower("property")
     told = F.exists(F.array(*map(F.lit, ("ph", "moisture", "density", "size", "assay"))), lambda w: F.contains(low, w))
     points = [(F.length("property") > 2, 0.2), (told, 0.1), (F.col("value").rlike(r"^\d+(?:\.\d+)?$"), 0.2), (F.col("unit") != "", 0.15), (F.col("qualifier") != "", 0.05)]

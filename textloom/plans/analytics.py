@@ -217,8 +217,7 @@ _PRICES = [(0, "view", 0.15, 0.6), (1, "click", 2.5, 10.0), (2, "c", 1.0, 2.0),
     SELECT event_id, tokens, round(coalesce((floor(tokens * 0.7::DOUBLE) * i::DOUBLE + (tokens - floor(tokens * 0.7::DOUBLE)) * o::DOUBLE) / 1e6, tokens * 5.0::DOUBLE / 1e6), 9) AS cost_usd FROM m WHERE n = 1""")
 def model_cost(spark, folder):
     usage = _events(spark, folder).select("event_id", "event_type", (F.col("tokens") * 1000).alias("tokens"))
-    prices = spark.createDataFrame(_PRICES, "ordinal int, name string, input_price double, output_price double")
-    return cost.priced(usage, prices, "event_type", "tokens", 5.0, "event_id").select("event_id", "tokens", "cost_usd")
+    return usage.select("event_id", "tokens", cost.priced(F.col("event_type"), F.col("tokens"), _PRICES, 5.0).alias("cost_usd"))
 
 
 @query("SELECT o_orderpriority AS entity_type, count(*) AS entities, count(DISTINCT o_custkey) AS sources, round(avg(o_totalprice), 4) AS avg_confidence FROM orders GROUP BY 1")

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from textloom.plans import analytics, documents, facts, foods, knowledge, measures, questions, relational, structure, texts  # noqa: F401
+    from textloom.plans import analytics, compounds, documents, facts, foods, knowledge, measures, questions, relational, structure, texts  # noqa: F401
 
 
 def queries() -> dict:

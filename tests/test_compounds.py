@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from textloom.operators import compounds
+from textloom.operators import chunking, compounds
 from textloom.plans.compounds import TEXTS
 
 EVERY = [*compounds.FOOD.items(), *compounds.GENERAL.items(), *(p for ps in compounds.COMPOUNDS.values() for p in ps)]
@@ -76,3 +76,63 @@ def test_compound_entities(spark):
                 assert r["has_measurements"] == bool(re.search(r"\d+(?:\.\d+)?\s*[%°C\w/]+", m[0])) and r["has_percentages"] == bool(re.search(r"\d+(?:\.\d+)?%", m[0]))
     assert compounds.compound_entities(df, "doc_id", "text", "other").first()["domain"] == "other"
     assert compounds.compound_entities(df.where("doc_id < -11"), "doc_id", "text").count() == 0
+
+
+def _by_hand(text, size, overlap, marks):
+    """The splitter on strings: cut by the first mark that occurs, join what is short, split what is long by later marks."""
+    mark, *later = marks[next(i for i, m in enumerate(marks) if m in text) :]
+    parts = [p for p in re.split(f"(?={re.escape(mark)})", text) if p] if mark else list(text)
+    out, held = [], []
+
+    def flush(keep):
+        out.append("".join(held).strip())
+        while held and keep(sum(map(len, held))):
+            held.pop(0)
+
+    for p in parts:
+        if len(p) < size:
+            if held and sum(map(len, held)) + len(p) > size:
+                flush(lambda n: n > overlap or n + len(p) > size)
+            held.append(p)
+            continue
+        if held:
+            flush(lambda n: True)
+        out += _by_hand(p, size, overlap, later) if later else [p.strip()]
+    if held:
+        flush(lambda n: True)
+    return [x for x in out if x]
+
+
+def test_splitter_against_strings():
+    pick = random.Random(5)
+    for _ in range(3000):
+        # Marks of one kind don't overlap here: a look-ahead would see "\n\n" twice in three line ends.
+        text = "".join(pick.choices(["a", "bcd ", "\n\nx", "\ny", "z. ", "wwwwwwww", "  q"], k=pick.randint(1, 60)))
+        size, overlap = pick.randint(5, 30), pick.randint(0, 4)
+        got = chunking.split_text(text, size, overlap)
+        assert [t for _, t in got] == _by_hand(text, size, overlap, list(chunking.MARKS)), (text, size, overlap)
+        assert all(text.startswith(t, a) for a, t in got)
+
+
+def test_cuts_go_around_compounds():
+    text = "word " * 100
+    assert chunking.split_around(text, []) == chunking.split_text(text)
+    cut = lambda *e: [a + len(t) for a, t in chunking.split_around("x" * 300, list(e), 100, 10)]
+    assert cut((0, 1, True)) == [100, 200, 300]
+    assert cut((90, 130, True)) == [90, 190, 290, 300]
+    assert cut((60, 110, True)) == [110, 210, 300]
+    assert cut((60, 110, False), (70, 120, True)) == [100, 200, 300]
+    assert cut((0, 300, True)) == [100, 300]  # too near the start of the first piece, then nearer the end
+    assert cut((20, 290, True)) == [100, 290, 300]
+    said = "x" * 30 + ". " + "y" * 268
+    assert [a + len(t) for a, t in chunking.split_around(said, [(20, 290, True)], 100, 10)][0] == 31
+    for e in [(a, b, True) for a in range(0, 300, 23) for b in range(a, 320, 17)]:
+        found = chunking.split_around(said, [e], 100, 10)
+        assert found[-1][0] + len(found[-1][1]) == 300 and len(found) <= 300
+
+
+def test_chunks_of_a_frame(spark):
+    rows = [(1, "x" * 1300, [(1190, 1250, True), (None, 3, True)]), (2, "a b", None), (3, None, []), (4, "", [(0, 1, False)])]
+    df = spark.createDataFrame(rows, "k int, t string, e array<struct<start:long,end:long,compound:boolean>>")
+    got = chunking.split_documents(df, "k", "t", entities="e").collect()
+    assert [(r["k"], r["chunk_order"], r["start"], len(r["chunk_text"])) for r in got] == [(1, 0, 0, 1190), (1, 1, 1140, 160), (2, 0, 0, 3)]

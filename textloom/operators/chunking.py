@@ -16,36 +16,113 @@ def paragraphs(docs: DataFrame, key: str, text: str, mark: str = "\n\n", *more:
     return parts.withColumn("page_number", F.expr("chunk_order div 3 + 1").cast("int"))
 
 
-def split_text(text: str, size: int = 1200, overlap: int = 50, marks: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[tuple[int, str]]:
-    """(start, piece): pieces of at most size characters, cut at the first mark that serves, neighbours sharing up to overlap."""
-    out, at, n = [], 0, len(text)
+MARKS = ("\n\n", "\n", ". ", " ", "")
+
+
+def _pieces(text: str, a: int, b: int, mark: str) -> list[int]:
+    """Where the pieces of text[a:b] begin, and b: each occurrence of the mark opens one; without a mark each character does."""
+    if not mark:
+        return list(range(a, b + 1))
+    starts, at = [a], text.find(mark, a, b)
+    while at != -1:
+        starts += [at] if at > a else []
+        at = text.find(mark, at + len(mark), b)
+    return [*starts, b]
+
+
+def _joined(borders: list[int], size: int, overlap: int):
+    """Neighbouring pieces as runs of at most size characters, each run taking up the last pieces of the one before, of at most overlap in all."""
+    first = 0
+    for last, (a, b) in enumerate(zip(borders, borders[1:])):
+        if b - borders[first] > size and last > first:
+            yield borders[first], a
+            while first < last and (a - borders[first] > overlap or b - borders[first] > size):
+                first += 1
+    if borders[first] < borders[-1]:
+        yield borders[first], borders[-1]
+
+
+def _split(text: str, a: int, b: int, size: int, overlap: int, marks: tuple[str, ...]):
+    """Runs of pieces by the first mark that occurs; a piece of the whole size or more is split by the marks after it."""
+    n = next((i for i, m in enumerate(marks) if not m or text.find(m, a, b) != -1), len(marks) - 1)
+    borders = _pieces(text, a, b, marks[n])
+    small = borders[:1]
+    for x, y in zip(borders, borders[1:]):
+        if y - x < size:
+            small.append(y)
+            continue
+        yield from _joined(small, size, overlap)
+        if marks[n] and marks[n + 1 :]:
+            yield from _split(text, x, y, size, overlap, marks[n + 1 :])
+        else:
+            yield x, y
+        small = [y]
+    yield from _joined(small, size, overlap)
+
+
+def _trimmed(text: str, a: int, b: int) -> list[tuple[int, str]]:
+    piece = text[a:b]
+    return [(a + len(piece) - len(piece.lstrip()), piece.strip())] if piece.strip() else []
+
+
+def split_text(text: str, size: int = 1200, overlap: int = 50, marks: tuple[str, ...] = MARKS) -> list[tuple[int, str]]:
+    """(start, piece), trimmed: pieces between marks, joined up to size characters; a mark stays with what follows it."""
+    return [p for a, b in _split(text, 0, len(text), size, overlap, marks) for p in _trimmed(text, a, b)]
+
+
+def split_around(text: str, entities: list[tuple[int, int, bool]], size: int = 1200, overlap: int = 50) -> list[tuple[int, str]]:
+    """(start, piece), trimmed: pieces of about size characters that don't cut compounds, entities being (start, end, compound).
+
+    Where the first entity at a cut is a compound, the cut moves to its nearer end; a
+    piece of under half the size then runs on to the next sentence, if that comes
+    within one and a half sizes, else to the plain size. A cut that wouldn't move on
+    is made at the plain size. Without entities the text is split by marks.
+    """
+    if not entities:
+        return split_text(text, size, overlap)
+    out, live, n = [], [], len(text)
+    coming = sorted(entities, key=lambda e: e[0], reverse=True)
+    at = start = 0
     while at < n:
-        end = min(n, at + size)
-        if end < n:
-            for mark in marks:
-                cut = text.rfind(mark, at + 1, end) if mark else end
-                if cut > at + size // 2 or (not mark and cut > at):
-                    end = cut + (len(mark) if cut + len(mark) <= at + size else 0)
-                    break
-        if text[at:end].strip():
-            out.append((at, text[at:end].strip()))
-        if end >= n:
+        plain = min(at + size, n)
+        while coming and coming[-1][0] <= plain:
+            live.append(coming.pop())
+        live = [e for e in live if e[1] >= plain]
+        cut = plain
+        if live and live[0][2]:
+            a, b, _ = live[0]
+            cut = a if plain - a < b - plain else b
+        if cut < n and cut - start < size // 2:
+            sentence = text.find(". ", cut, start - (-3 * size // 2) + 1)
+            cut = plain if sentence == -1 else sentence + 2
+        cut = cut if cut > at else plain
+        out += _trimmed(text, start, cut)
+        if cut >= n:
             break
-        at = max(at + 1, end - overlap)
+        start, at = max(start, cut - overlap), cut
     return out
 
 
-def split_documents(docs: DataFrame, key: str, text: str, size: int = 1200, overlap: int = 50) -> DataFrame:
-    """(key, chunk_order, start, chunk_text), Arrow batches at a time."""
+def split_documents(docs: DataFrame, key: str, text: str, size: int = 1200, overlap: int = 50, entities: str | None = None) -> DataFrame:
+    """(key, chunk_order, start, chunk_text), Arrow batches at a time.
+
+    entities names an array of (start, end, compound) structs that cuts go around;
+    null ones are none, and those without places are passed over.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
+    def of(text, found):
+        placed = [(e["start"], e["end"], bool(e["compound"])) for e in found or [] if e and e["start"] is not None and e["end"] is not None]
+        return split_around(text or "", placed, size, overlap)
+
     def run(batches):
         for batch in batches:
-            rows = [(k, i, a, t) for k, x in zip(*[c.to_pylist() for c in batch.columns]) for i, (a, t) in enumerate(split_text(x or "", size, overlap))]
+            held = [c.to_pylist() for c in batch.columns]
+            rows = [(k, i, a, t) for k, x, *e in zip(*held) for i, (a, t) in enumerate(of(x, e[0] if e else None))]
             columns = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.string())], names=[key, "chunk_order", "start", "chunk_text"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, chunk_order int, start int, chunk_text string")
+    return docs.select(key, text, *([entities] if entities else [])).mapInArrow(run, f"{key} {kind}, chunk_order int, start int, chunk_text string")
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:

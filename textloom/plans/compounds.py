@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from textloom.operators import compounds
+from pyspark.sql import functions as F
+
+from textloom.operators import chunking, compounds
 from textloom.plans.registry import query
 from textloom.sources.tables import load
 
@@ -46,3 +48,12 @@ def general_specifications(spark, folder):
 def compound_entities(spark, folder):
     """Compounds of every domain."""
     return reduce(lambda a, b: a.union(b), [compounds.compound_entities(_rows(spark, folder), "doc_id", "text", d) for d in compounds.COMPOUNDS])
+
+
+@query()
+def entity_chunks(spark, folder):
+    """Pieces of every text that leave its general compounds whole."""
+    rows = _rows(spark, folder)
+    found = compounds.compound_entities(rows, "doc_id", "text").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", F.lit(True).alias("compound"))).alias("entities"))
+    pieces = chunking.split_documents(rows.join(found, "doc_id", "left"), "doc_id", "text", entities="entities")
+    return pieces.select("doc_id", "chunk_order", "start", F.length("chunk_text").alias("n_chars"))

@@ -20,6 +20,7 @@ def test_matches_are_those_of_finditer():
         for _, p in EVERY:
             want = [m.span() for m in re.finditer(p, t, re.I)]
             assert [m.span() for m in compounds.matches(p, t)] == want, (p, t)
+            assert [m.span() for m in compounds.matches(p, t, t.lower())] == want, (p, t)
             held[p] += len(want)
     assert min(held.values()) > 0
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,23 +26,19 @@ def _pieces(text: str, a: int, b: int, mark: str) -> list[int]:
     """Where the pieces of text[a:b] begin, and b: each occurrence of the mark opens one; without a mark each character does."""
     if not mark:
         return list(range(a, b + 1))
-    starts, at = [a], text.find(mark, a, b)
-    while at != -1:
-        starts += [at] if at > a else []
-        at = text.find(mark, at + len(mark), b)
-    return [*starts, b]
+    found = [m.start() for m in re.compile(re.escape(mark)).finditer(text, a, b)]
+    return [a, *(found[1:] if found and found[0] == a else found), b]
 
 
 def _joined(borders: list[int], size: int, overlap: int):
     """Neighbouring pieces as runs of at most size characters, each run taking up the last pieces of the one before, of at most overlap in all."""
-    first = 0
-    for last, (a, b) in enumerate(zip(borders, borders[1:])):
-        if b - borders[first] > size and last > first:
-            yield borders[first], a
-            while first < last and (a - borders[first] > overlap or b - borders[first] > size):
-                first += 1
-    if borders[first] < borders[-1]:
-        yield borders[first], borders[-1]
+    first, end = 0, len(borders) - 1
+    while first < end:
+        last = max(first + 1, bisect_right(borders, borders[first] + size) - 1)
+        yield borders[first], borders[last]
+        if last == end:
+            return
+        first = min(last, bisect_left(borders, max(borders[last] - overlap, borders[last + 1] - size)))
 
 
 def _split(text: str, a: int, b: int, size: int, overlap: int, marks: tuple[str, ...]):

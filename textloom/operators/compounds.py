@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -112,6 +113,7 @@ _RUNS = {r"([A-Za-z\s]+": r"[A-Za-z\s]+", r"([A-Za-z\s]*": r"[A-Za-z\s]+"}
 PLAIN_NUMBER = r"^[0-9]+(?:\.[0-9]+)?$"
 
 
+@lru_cache(maxsize=None)
 def _starts(pattern: str) -> re.Pattern | None:
     """Where a pattern that opens with a run of letters can begin; None for others, whose starts are few."""
     label = re.match(r"\(\?:([A-Za-z ]+:)\\s\*\)\?(?:\(\?:Product\\s\+\)\?)?", pattern)
@@ -120,12 +122,34 @@ def _starts(pattern: str) -> re.Pattern | None:
     return run and re.compile(f"{label[1]}|{run}" if label else run, re.I)
 
 
-def matches(pattern: str, text: str) -> Iterator[re.Match]:
+@lru_cache(maxsize=None)
+def _needed(pattern: str) -> tuple[str, ...]:
+    """Lower-case literals of which every match holds one; none where that isn't plain from the pattern."""
+    group = re.match(r"\((?:\?:)?([^()]*)\)(?!\?)(.?)", pattern)
+    if not group:
+        return ()
+    if group[1].startswith("[A-Za-z"):
+        return (group[2],) if group[2] in ":=" else ()
+    parts = [re.split(r".\?|\\.|\[[^\]]*\]|[*+?]", way) for way in group[1].split("|")]
+    found = tuple(max(p, key=len).lower() for p in parts)
+    return found if all(found) else ()
+
+
+#: Letters that patterns without case take for others, though their lower case differs.
+_ODD = ("\u017f", "\u0130", "\u0131")
+
+
+def matches(pattern: str, text: str, low: str | None = None) -> Iterator[re.Match]:
     """What finditer gives without case, but a run of letters is tried from its first place only.
 
+    low is the text in lower case: a text without any literal that the pattern needs isn't searched.
+
     What fails there fails at every later place of the run, as that place has
     fewer ways on; a label inside a run is one more place to begin.
     """
+    needed = _needed(pattern)
+    if low is not None and needed and not any(w in low for w in needed) and not any(c in text for c in _ODD):
+        return
     starts = _starts(pattern)
     if starts is None:
         yield from re.finditer(pattern, text, re.I)
@@ -155,7 +179,8 @@ def spans(docs: DataFrame, key: str, text: str, patterns: list[tuple[str, str]],
             packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows), types)], names=names)
             rows = []
             for k, t in zip(*[c.to_pylist() for c in batch.columns]):
-                found = ((name, m) for name, p in patterns for m in matches(p, t))
+                low = t.lower()
+                found = ((name, m) for name, p in patterns for m in matches(p, t, low))
                 for i, (n, m) in enumerate(found):
                     rows.append((k, i, n, m.start(), m.end(), m[0], [g or "" for g in m.groups()], t[max(0, m.start() - reach) : m.end() + reach].strip()))
                     if len(rows) == most:

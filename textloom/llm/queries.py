@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, toxicity
+from . import chat_format, decontaminate, filter_audit, html_extract, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, toxicity
 from .frames import pick, table
 
 #: A text that holds marks of common templates.
@@ -67,6 +67,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_chat_format, op2_secret_scan, op3_token_counts, op4_decontaminate, op5_html_extract, op6_quality_rules, op7_simhash_dedup, op8_toxicity, op9_packing, op10_suffix_dedup]
+    named = [op1_chat_format, op2_secret_scan, op3_token_counts, op4_decontaminate, op5_html_extract, op6_quality_rules, op7_simhash_dedup, op8_toxicity, op9_packing, op10_suffix_dedup, op12_filter_audit]
     return {f.__name__: f for f in named} | {"pipeline": pipeline}
 
 
@@ -127,6 +131,40 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+        coalesce(min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id, FALSE) AS copy
+    FROM documents
+), l AS (
+    SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), flags AS (
+    SELECT part, map(['A', 'B', 'C', 'D', 'E'], [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+        100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), copy]) AS fails,
+        coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic
+    FROM d LEFT JOIN l USING (doc_id)
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT part, filter_order, step, filter_order[step] AS filter, fails[filter_order[step]] AS failed, good, toxic,
+        len(list_filter(map_values(fails), lambda f: f)) AS n_fails,
+        len(list_filter(range(1, step), lambda s: fails[filter_order[s]])) AS before
+    FROM flags, orders, range(1, 6) AS r(step)
+), counted AS (
+    SELECT part, filter_order, step::INTEGER AS step, filter, count(*) FILTER (before = 0 AND NOT failed) AS kept,
+        count(*) FILTER (before = 0 AND failed) AS removed, count(*) FILTER (before > 0 AND failed) AS redundant,
+        count(*) FILTER (failed AND n_fails = 1) AS unique_fails, count(*) FILTER (before = 0 AND failed AND good) AS good_lost,
+        count(*) FILTER (before = 0 AND failed AND toxic) AS toxic_lost
+    FROM steps GROUP BY ALL
+)
+SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM counted
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}
+    return {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op12_filter_audit": OP12_SQL}

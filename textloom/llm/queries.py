@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, filter_audit, html_extract, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, toxicity
+from . import chat_format, collocations, decontaminate, filter_audit, html_extract, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, toxicity
 from .frames import pick, table
 
 #: A text that holds marks of common templates.
@@ -71,6 +71,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_chat_format, op2_secret_scan, op3_token_counts, op4_decontaminate, op5_html_extract, op6_quality_rules, op7_simhash_dedup, op8_toxicity, op9_packing, op10_suffix_dedup, op12_filter_audit]
+    named = [op1_chat_format, op2_secret_scan, op3_token_counts, op4_decontaminate, op5_html_extract, op6_quality_rules, op7_simhash_dedup, op8_toxicity, op9_packing, op10_suffix_dedup, op12_filter_audit, op13_collocations]
     return {f.__name__: f for f in named} | {"pipeline": pipeline}
 
 
@@ -165,6 +169,40 @@ WITH d AS (
 SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM counted
 """
 
+OP13_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), worded AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), totals AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
+), counts AS (
+    SELECT lang, size, phrase, count(*) AS a
+    FROM (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase
+          FROM worded, range(1, 5) AS s(size) WHERE len(w) >= size)
+    GROUP BY ALL HAVING count(*) >= 30
+), found AS (
+    SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1
+), scored AS (
+    SELECT f.lang, f.phrase, f.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * f.a) // (x.a + y.a))::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM found) f
+    JOIN counts x ON x.lang = f.lang AND x.phrase = array_to_string(f.w[1:k], ' ')
+    JOIN counts y ON y.lang = f.lang AND y.phrase = array_to_string(f.w[k + 1:], ' ')
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), around AS (
+    SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS around
+    FROM (SELECT *, unnest(range(1, size - s + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS s FROM found WHERE size > 2))
+    GROUP BY ALL
+)
+SELECT * FROM (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM best LEFT JOIN around USING (lang, phrase) JOIN totals USING (lang)
+    WHERE around IS NULL OR 100 * around < 80 * a
+) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op12_filter_audit": OP12_SQL, "op13_collocations": OP13_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, collocations, decontaminate, filter_audit, html_extract, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, toxicity
+from . import chat_format, collocations, decontaminate, filter_audit, html_extract, lm_score, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, toxicity
 from .frames import pick, table
 
 #: A text that holds marks of common templates.
@@ -67,6 +67,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_chat_format, op2_secret_scan, op3_token_counts, op4_decontaminate, op5_html_extract, op6_quality_rules, op7_simhash_dedup, op8_toxicity, op9_packing, op10_suffix_dedup, op12_filter_audit, op13_collocations]
+    named = [op1_chat_format, op2_secret_scan, op3_token_counts, op4_decontaminate, op5_html_extract, op6_quality_rules, op7_simhash_dedup, op8_toxicity, op9_packing, op10_suffix_dedup, op11_lm_score, op12_filter_audit, op13_collocations]
     return {f.__name__: f for f in named} | {"pipeline": pipeline}
 
 

@@ -1,20 +1,20 @@
 """Texts scored by a hidden Markov language model that the corpus trains.
 
 Words are counted over all training texts. The model emits symbols: the most
-frequent words are one symbol each, other words share symbols by their hash, and
-words seen once, twice or never share one; a word is then one draw from its
-symbol's words, by their counts. So the chance of a text is the chance of its
-symbols times that of each word in its symbol. Words never seen are one class,
-as in the base score; within their symbol it has the share that singletons have
-among seldom words (Good and Turing).
+frequent words are one symbol each, others share symbols by their hash, and
+seldom words share one: those seen at most twice, or past the ``lookup`` most
+frequent ones, or never. A word is then one draw from its symbol's words, by
+their counts, so the chance of a text is the chance of its symbols times that of
+each word in its symbol. Words never seen are one class, as in the base score;
+it is drawn as often as words were seen once (Good and Turing).
 
 Latent states are trained by Baum-Welch: each task adds up expected counts over
 its texts, the counts are combined by symbol, and the model, whose size doesn't
 depend on the corpus, is fitted anew and broadcast. The scaled forward recursion
 gives the exact likelihood of a text's symbols.
 
-The counts of at most ``lookup`` words, the most frequent, are broadcast; seldom
-words are counted by a join, so any vocabulary gives the same result.
+Only the counts of frequent words are broadcast, ``lookup`` at most; what seldom
+words add to a text's sums comes from a join of (text, word) with all counts.
 
 Defined results: a null or empty text is its end alone; a null doc_id is a
 training row; repeated rows come back, and are learnt from, once each; without
@@ -37,11 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hidden_markov
-from .frames import discard, documents_of, sliced, stored
+from .frames import documents_of, sliced, stored
 
 END = b"\n"  # no word holds white space
 RARE, CLOSE, FIRST = 0, 1, 2  # the symbols of seldom words and of the end, and the first of a word of its own
-#: Words whose count is at most this are seldom.
+#: Words whose count is at most this are seldom in any case.
 SELDOM = 2
 #: Texts are read in blocks of so many characters.
 BLOCK = 8 << 20
@@ -56,24 +56,31 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Lookup:
-    """Counts of a bounded set of words: hashes in order, and the words to compare with."""
+    """Counts of a bounded set of words, found by two hashes of 64 bits, the first of which is unique among them."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray):
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.counts = hashes[order], counts[order]
-        self.ends = np.concatenate([[0], np.cumsum([len(words[i]) for i in order])]).astype(np.int64)
-        self.bytes = b"".join(words[i] for i in order)
+        self.seed = 1
+        while len(np.unique(first := self._hashes(words, self.seed))) < len(words):
+            self.seed += 1
+        order = np.argsort(first)
+        self.first, self.second, self.counts = first[order], self._hashes(words, 0)[order], counts[order]
+
+    @staticmethod
+    def _hashes(words: list[bytes], seed: int) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """The count of each word, 0 where it isn't held."""
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
+        if not len(self.first):
+            return np.zeros(len(words), np.int64)
+        first = self._hashes(words, self.seed)
+        order = np.argsort(first)  # searched in order, places are near each other
+        at = np.empty(len(words), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.first, first[order]), len(self.first) - 1)
+        held = np.flatnonzero(self.first[at] == first)
+        held = held[self.second[at[held]] == self._hashes([words[i] for i in held], 0)]
         out = np.zeros(len(words), np.int64)
-        for i in np.flatnonzero(low < high):
-            for p in range(low[i], high[i]):
-                if self.bytes[self.ends[p] : self.ends[p + 1]] == words[i]:
-                    out[i] = self.counts[p]
+        out[held] = self.counts[at[held]]
         return out
 
 
@@ -81,31 +88,28 @@ class Lookup:
 class Vocabulary:
     tokens: int  # N
     distinct: int  # V
-    lookup: Lookup
-    complete: bool  # whether the lookup holds every word
-    level: int  # words of this level of frequency and above are held
+    lookup: Lookup  # words of ``level`` and above
+    level: int
     own: dict[bytes, int]  # symbols of the most frequent words
     shared: int  # symbols that other words share, a power of two
     symbol_counts: np.ndarray
-    once: tuple[float, float, float]  # log10 of a draw from the rare symbol: the unknown class, a word seen once, one seen twice
+    draws: list[float]  # chances of a draw from the rare symbol: the unknown class, a word seen once, twice, and each occurrence of others
 
     def unigram(self) -> np.ndarray:
         return (self.symbol_counts + 1e-3) / (self.symbol_counts + 1e-3).sum()
 
-    def tables(self, words: list[bytes], more: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each word: its count, symbol, base score, and log10 chance within its symbol."""
+    def tables(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each word: its count, symbol, base score, and log10 chance within its symbol; all words out of the lookup are taken as unknown."""
         n = self.lookup.find(words)
-        if more:
-            n = np.maximum(n, np.fromiter((more.get(w, 0) for w in words), np.int64, len(words)))
-        shared = 1 + len(self.own) + np.fromiter((xxhash.xxh64_intdigest(w, 42) & (self.shared - 1) for w in words), np.int64, len(words))
-        own = np.fromiter((self.own.get(w, -1) for w in words), np.int64, len(words))
-        symbol = np.where(own >= 0, own, np.where(n > SELDOM, shared, RARE))
-        inside = np.where(n > SELDOM, np.log10(np.maximum(n, 1) / np.maximum(self.symbol_counts[symbol], 1)), np.array(self.once)[np.minimum(n, SELDOM)])
+        symbol = np.full(len(words), RARE, np.uint16)
+        for i in np.flatnonzero(n):
+            symbol[i] = self.own.get(words[i]) or 1 + len(self.own) + (xxhash.xxh64_intdigest(words[i], 42) & (self.shared - 1))
+        inside = np.log10(np.where(n > 0, n / np.maximum(self.symbol_counts[symbol], 1), self.draws[0]))
         return n, symbol, np.log10((n + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))), inside
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return documents_of(docs).select("doc_id", "text", F.xxhash64("text").alias("key"), held_out(F.col("doc_id")).alias("held_out"))
+    return documents_of(docs).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
 
 
 def _level() -> Column:
@@ -132,92 +136,86 @@ def word_counts(rows: DataFrame, most: int = 500_000) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, own: int = 12_288, shared: int = 4_096, lookup: int = 1_000_000) -> Vocabulary:
-    """From (word, n): sums over all words, and the most frequent ones."""
+    """From (word, n): sums over all words, and the counts of at most ``lookup`` frequent ones."""
     ones = [F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3)]
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct"), *ones).first()
-    levels = {r["level"]: r["words"] for r in counts.groupBy(_level().alias("level")).agg(F.count("*").alias("words")).collect()}
+    often = counts.where((F.col("n") > SELDOM) & (F.col("word") != END))
+    levels = {r["level"]: r["words"] for r in often.groupBy(_level().alias("level")).agg(F.count("*").alias("words")).collect()}
     level, held = max(levels, default=0) + 1, 0
     for at in sorted(levels, reverse=True):
         held += levels[at]
         if held > lookup:
             break
         level = at
-    words = counts.where(_level() >= level).toArrow()  # at most ``lookup`` rows
-    often = counts.where((F.col("n") > SELDOM) & (F.col("word") != END))
-    top = [bytes(r["word"]) for r in often.orderBy(F.desc("n"), "word").limit(own).collect()]
-    symbols = {END: CLOSE} | {w: FIRST + i for i, w in enumerate(top)}
-
-    base = 1 + len(symbols)  # the first shared symbol
-    sums = np.zeros(base + shared)
-    hashed = F.xxhash64("word").bitwiseAND(F.lit(shared - 1))
-    for r in often.groupBy(hashed.alias("h")).agg(F.sum("n").alias("n")).collect():  # ``shared`` rows
-        sums[base + r["h"]] = r["n"]
-    for r in counts.where(F.col("word").isin([END])).union(often.orderBy(F.desc("n"), "word").limit(own)).collect():
-        word = bytes(r["word"])
-        sums[symbols[word]] = r["n"]
-        if word != END:
-            sums[base + (xxhash.xxh64_intdigest(word, 42) & (shared - 1))] -= r["n"]
-    sums[RARE] = total["n1"] + 2 * total["n2"]
-    weights = [total["n1"] + 0.5, 2 * total["n2"] + 0.5 if total["n1"] else 0.0, 3 * total["n3"] + 0.5 if total["n2"] else 0.0]
-    once = tuple(math.log10(w / sum(weights) / each) if w else 0.0 for w, each in zip(weights, (1, total["n1"], total["n2"])))
-    found = Lookup(words["word"].to_pylist(), words["n"].to_numpy())
-    return Vocabulary(total["tokens"], total["distinct"], found, not levels or level <= min(levels), level, symbols, shared, sums, once)
-
-
-def _seldom_words(rows: DataFrame, counts: DataFrame, vocab: Vocabulary, shipped) -> DataFrame:
-    """rows with ``seldom``: (word, n) of a text's training words that the lookup doesn't hold."""
-
-    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            ids, keys, words = [], [], []
-            for i, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))):
-                for w in set(words_of(text)):
-                    ids.append(i)
-                    keys.append(key)
-                    words.append(w)
-            distinct = list(set(words))
-            held = dict(zip(distinct, (shipped.value.lookup.find(distinct) > 0).tolist()))
-            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(words, pa.binary())], ["doc_id", "key", "word"])
-            yield out.filter(pa.array([not held[w] for w in words], pa.bool_()))
-
-    asked = rows.select("doc_id", "key", "text").mapInArrow(missing, "doc_id long, key long, word binary")
-    met = asked.join(counts.where(_level() < vocab.level), "word").groupBy("doc_id", "key").agg(F.collect_set(F.struct("word", "n")).alias("seldom"))
-    met = met.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "seldom")
-    return rows.join(met, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").drop("_d", "_k")
-
-
-def encode(rows: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, base_score, inside: log10 chance of the words within their symbols, symbols), stored."""
+    often = often.where(_level() >= level)
+    found = often.toArrow()  # at most ``lookup`` rows
+    words, n = found["word"].to_pylist(), found["n"].to_numpy()
+    top = sorted(zip((-n).tolist(), words))[:own]
+    symbols = {END: CLOSE} | {w: FIRST + i for i, (_, w) in enumerate(top)}
+
+    sums = np.zeros(1 + len(symbols) + shared)
+    end = counts.where(F.col("word") == F.lit(END)).first()
+    sums[CLOSE] = end["n"] if end else 0
+    for word, times in zip(words, n.tolist()):
+        sums[symbols.get(word) or 1 + len(symbols) + (xxhash.xxh64_intdigest(word, 42) & (shared - 1))] += times
+    sums[RARE] = total["tokens"] - sums.sum()
+    n1, n2, n3 = total["n1"], total["n2"], total["n3"]
+    once, twice = (2 * n2 + 0.5) / n1 if n1 else 0.0, (3 * n3 + 0.5) / n2 if n2 else 0.0
+    weight = n1 + 0.5 + n1 * once + n2 * twice + sums[RARE] - n1 - 2 * n2
+    draws = [(n1 + 0.5) / weight, once / weight, twice / weight, 1 / weight]
+    return Vocabulary(total["tokens"], total["distinct"], Lookup([END, *words], np.append(sums[CLOSE], n).astype(np.int64)) if end else Lookup([], n), level, symbols, shared, sums, draws)
+
+
+def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """A row a text, stored: row (a number), doc_id, held_out, n_tokens, n_known, base_score, inside: log10 chance of the words within their symbols, seldom: (word, times) of those out of the lookup, taken as unknown here, and symbols."""
     shipped = rows.sparkSession.sparkContext.broadcast(vocab)
-    rows = rows.withColumn("seldom", F.lit(None).cast("array<struct<word:binary,n:long>>")) if vocab.complete else _seldom_words(rows, counts, vocab, shipped)
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "inside", "symbols"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-
-    def block(ids: list, outs: list, texts: list[np.ndarray], numbers: dict, more: dict) -> pa.RecordBatch:
-        n, symbol, base, inside = shipped.value.tables(list(numbers), more)
-        symbol = symbol.astype(np.uint16)
-        cols = [ids, outs, list(map(len, texts)), [int(np.count_nonzero(n[t])) for t in texts], [float(base[t].sum()) for t in texts], [float(inside[t].sum()) for t in texts], [symbol[t].tobytes() for t in texts]]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "inside", "seldom", "symbols"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.map_(pa.binary(), pa.int64()), pa.binary()]
+
+    def block(ids: list, outs: list, texts: list[np.ndarray], numbers: dict) -> pa.RecordBatch:
+        words = list(numbers)
+        n, symbol, base, inside = shipped.value.tables(words)
+        each = np.concatenate(texts)
+        ends = np.cumsum(list(map(len, texts)))
+        starts = np.append(0, ends[:-1])
+        total = lambda values: np.add.reduceat(values, starts)
+        out = n == 0
+        out[0] = False  # the end, which only a table without training texts lacks
+        seldom = [list(Counter([words[w] for w in t[out[t]]]).items()) for t in texts]
+        cols = [ids, outs, ends - starts, total((n > 0)[each].astype(np.int64)), total(base[each]), total(inside[each]), seldom, [symbol[t].tobytes() for t in texts]]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh = lambda: ([], [], [], _Numbers({END: 0}), {}, 0)
-        ids, outs, texts, numbers, more, size = fresh()
+        ids, outs, texts, numbers, size = [], [], [], _Numbers({END: 0}), 0
         for batch in sliced(batches, 128):
-            for i, out, text, seldom in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text", "seldom"))):
+            for i, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
                 words = words_of(text)
-                texts.append(np.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)), np.int32(0)))
+                words.append(END)
+                texts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 ids.append(i)
                 outs.append(out)
-                more.update((s["word"], s["n"]) for s in seldom or ())
                 size += len(text)
             if size >= BLOCK:
-                yield block(ids, outs, texts, numbers, more)
-                ids, outs, texts, numbers, more, size = fresh()
+                yield block(ids, outs, texts, numbers)
+                ids, outs, texts, numbers, size = [], [], [], _Numbers({END: 0}), 0
         if ids:
-            yield block(ids, outs, texts, numbers, more)
+            yield block(ids, outs, texts, numbers)
+
+    spec = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, seldom map<binary, long>, symbols binary"
+    return stored(rows.select("doc_id", "held_out", "text").mapInArrow(run, spec).withColumn("row", F.monotonically_increasing_id()), "encoded")
+
 
-    spec = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, symbols binary"
-    return stored(rows.select("doc_id", "held_out", "text", "seldom").mapInArrow(run, spec), "encoded")
+def seldom_known(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(row, known, base, inside): what a text's seldom training words add to the sums that took them as unknown."""
+    asked = encoded.select("row", F.explode("seldom").alias("word", "times"))
+    draws = [F.lit(d) for d in vocab.draws]
+    draw = F.when(F.col("n") == 1, draws[1]).when(F.col("n") == 2, draws[2]).otherwise(draws[3] * F.col("n"))
+    met = asked.join(counts.where((F.col("n") <= SELDOM) | (_level() < vocab.level)), "word")
+    return met.groupBy("row").agg(
+        F.sum("times").alias("known"),
+        F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / 0.5)).alias("base"),
+        F.sum(F.col("times") * F.log10(draw / draws[0])).alias("inside"),
+    )
 
 
 class _Numbers(dict):
@@ -264,18 +262,16 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = 16, passes: int =
 
 
 def likelihoods(encoded: DataFrame, model: hidden_markov.Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score, score."""
+    """(row, log10 likelihood of the symbols)."""
     shipped = encoded.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = (zip(*(c.to_pylist() for c in batch.columns)) for batch in sliced(batches))
-        for group in hidden_markov.blocks(chain.from_iterable(lists), group=1 << 18, size=lambda r: r[2]):
-            logs = hidden_markov.log_likelihoods(shipped.value, [np.frombuffer(r[6], np.uint16) for r in group]) / math.log(10)
-            cols = [*list(zip(*group))[:5], logs + np.array([r[5] for r in group])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
+        for group in hidden_markov.blocks(chain.from_iterable(lists), group=1 << 18, size=lambda r: len(r[1]) // 2):
+            logs = hidden_markov.log_likelihoods(shipped.value, [np.frombuffer(r[1], np.uint16) for r in group]) / math.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in group], pa.int64()), pa.array(logs)], ["row", "said"])
 
-    return encoded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return encoded.select("row", "symbols").mapInArrow(run, "row long, said double")
 
 
 def score(docs: DataFrame, states: int = 16, passes: int = 5, own: int = 12_288, shared: int = 4_096, lookup: int = 1_000_000) -> DataFrame:
@@ -283,7 +279,16 @@ def score(docs: DataFrame, states: int = 16, passes: int = 5, own: int = 12_288,
     rows = _rows(docs)
     counts = stored(word_counts(rows), "words")
     vocab = vocabulary(counts, own, shared, lookup)
-    encoded = encode(rows, counts, vocab)
-    discard(docs.sparkSession, counts)
-    found = likelihoods(encoded, train(encoded, vocab, states, passes))
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    encoded = encode(rows, vocab)
+    said = likelihoods(encoded, train(encoded, vocab, states, passes))
+    slim = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", F.col("inside").alias("words")).join(said, "row")
+    found = slim.join(seldom_known(encoded, counts, vocab), "row", "left").fillna(0, ["known", "base", "inside"])
+    return found.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.col("known")).alias("n_known"),
+        F.lit(vocab.tokens).cast("long").alias("train_tokens"),
+        (F.col("base_score") + F.col("base")).alias("base_score"),
+        (F.col("said") + F.col("words") + F.col("inside")).alias("score"),
+    )

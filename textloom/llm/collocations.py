@@ -43,6 +43,8 @@ LONGEST = 4
 BLOCK = 16 << 20
 #: Cells in a range, whose places take two bytes.
 RANGE = 1 << 16
+#: The floor of twice a phrase's share of its parts, in millionths, in decimals that no count overflows.
+SCORE = "cast(a AS decimal(20, 0)) * 2000000 div (cast(l AS decimal(20, 0)) + r)"
 #: A-Z lowered; every mark between pieces becomes a full stop, which no word holds; tabs become spaces.
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _MARKS + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"." * len(_MARKS) + b" ")
@@ -210,7 +212,7 @@ def collocations(docs: DataFrame, least: int = 30, share: int = 80, top: int = 2
     cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
     of = lambda name, n: counts.select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
     sized = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"])
-    scored = sized.withColumn("score", F.expr("cast(a AS decimal(20, 0)) * 2000000 div (cast(l AS decimal(20, 0)) + r)"))
+    scored = sized.withColumn("score", F.expr(SCORE))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
     longer = found.where("size > 2").select("lang", "w", "a", F.col("size").alias("m"))

@@ -41,8 +41,8 @@ class Layout:
         sizes = sizes[self.order]
         self.active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")  # with a symbol at each time
         self.starts = np.concatenate([[0], np.cumsum(self.active)])
-        self.time = np.concatenate([np.arange(n) for n in sizes])
-        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.time = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.symbols = np.empty(len(self.time), np.int64)
         self.symbols[self.starts[self.time] + self.row] = np.concatenate([sequences[i] for i in self.order])
 
@@ -86,10 +86,11 @@ class Counts:
             w = e[high : high + m]
             w *= b[high : high + m]  # from here on e holds what moves are weighted by
             np.dot(w, back, out=b[low : low + m])
-        later = np.arange(at.active[0], len(a))
-        if len(later):
-            earlier = later - np.repeat(at.active[:-1], at.active[1:])
-            self.moves += a[earlier].T @ e[later] * model.moves
+        earlier = np.arange(at.active[0], len(a)) - np.repeat(at.active[:-1], at.active[1:])
+        for low in range(0, len(earlier), 1 << 16):
+            part = earlier[low : low + (1 << 16)]
+            later = low + at.active[0]
+            self.moves += a[part].T @ e[later : later + len(part)] * model.moves
         b *= a
         self.first += b[: at.active[0]].sum(0)
         for k in range(len(self.first)):
@@ -103,7 +104,7 @@ def step(counts: Counts, unigram: np.ndarray, prior: float = 0.01) -> Model:
     return Model(first / first.sum(), moves / moves.sum(1, keepdims=True), (emits / emits.sum(1, keepdims=True)).T)
 
 
-def blocks(sequences: Iterator, most: int = 1 << 22, group: int = 1 << 20, size=len) -> Iterator[list]:
+def blocks(sequences: Iterator, most: int = 1 << 22, group: int = 1 << 19, size=len) -> Iterator[list]:
     """Sequences gathered up to ``most`` symbols, sorted by length, and cut into groups of about ``group`` symbols."""
     held, total = [], 0
     for s in sequences:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import collocations, filter_audit, hidden_markov, lm_score
+from textloom.llm import collocations, filter_audit, hidden_markov, html_extract, lm_score
 
 SPACES = " \t\n\r\x0b\x0c"
 
@@ -257,3 +257,28 @@ def test_exact_beyond_64_bits(spark):
     a, l, r = 9_000_000_000_000_000, 9_100_000_000_000_001, 9_200_000_000_000_003
     got = spark.createDataFrame([(a, l, r)], "a long, l long, r long").select(F.expr(collocations.SCORE)).first()[0]
     assert got == 2_000_000 * a // (l + r)
+
+
+# pages that are cut off
+
+
+def test_cut_pages_in_time(folder):
+    """Every page of a table cut at each of its positions near tags, and open tags of 100 kB, are read in linear time."""
+    import time
+
+    import pyarrow.parquet as pq
+
+    began = time.time()
+    for source in pq.read_table(f"{folder}/pages.parquet", columns=["html"])["html"].to_pylist()[:4]:
+        for at in range(len(source or "")):
+            html_extract.Page(source[:at]).main_text()
+    assert time.time() - began < 120
+    opens = ["<a " * 33_000, '<img alt="' + "x" * 100_000, "<img " + "x" * 100_000, "<p " + "a=" * 50_000, "<p " + "a=' " * 25_000, "<p \"'" * 20_000, '<a b="' * 16_000, "<!" * 50_000, "<" * 100_000, "</" * 50_000, "<script " * 12_000, "<a href=\"x' " * 8_000]
+    for tail in opens:
+        began = time.time()
+        assert html_extract.Page("<article><p>Some text</p>" + tail).main_text().startswith("Some text")
+        assert time.time() - began < 5, tail[:20]
+
+
+def test_open_quote_ends_tag():
+    assert html_extract.Page('<p>a</p><a href="x>b</a><p>c</p>').main_text() == "a b c"

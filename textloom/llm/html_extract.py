@@ -45,7 +45,10 @@ from pyspark.sql import functions as F
 
 from .frames import map_batches, pick, stored
 
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+|/|[^\s"'>=/]+|=\s*"[^"]*"|=\s*'[^']*'|=|"|')*)>|<[a-zA-Z/!][^<>]*$""", re.S)
+# Nothing in a tag is tried twice: attributes are read once, up to the next "<" outside quotes; where that fails, the tag ends
+# at the first ">" before the next "<"; and the last tag may be cut off.
+_ATTRIBUTES = r"""(?:\s++|/|[^\s"'<>=/]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=|"|')*+"""
+_TAG = re.compile(rf"""<!--.*?(?:-->|$)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES}(?=>)|[^<>]*+(?=>))>|<[a-zA-Z/!][^<>]*+$""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # Element kinds of HTML, and names by which pages call what isn't main text.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions.vectors import cosine, trigram_similarity
-from textloom.operators import chunking, classify, cost, extraction, graph, maintenance, providers, quality, relations, search
+from textloom.operators import chunking, classify, clusters, cost, extraction, graph, maintenance, providers, quality, relations, search
 from textloom.sources.tables import matching, text_match
 
 
@@ -122,7 +122,7 @@ def test_first_spans_of_lines(spark, folder):
 def test_clusters(spark):
     names = ["red widget", "red widgets", "Red Widget", "blue gear", "blue gears x"]
     df = spark.createDataFrame([(n, float(i)) for i, n in enumerate(names)], "n string, c double")
-    got = {r["leader"]: r["size"] for r in relations.similarity_clusters(df, F.lit("all"), "n", "c").collect()}
+    got = {r["leader"]: r["size"] for r in clusters.similarity_clusters(df, F.lit("all"), "n", "c").collect()}
     leaders = []
     for n in reversed(names):
         if not any(difflib.SequenceMatcher(None, n.lower(), x.lower()).ratio() > 0.85 for x in leaders):

@@ -1,12 +1,9 @@
-"""Joins with a meaning: access rules, anti and existence joins, bands, intervals, and greedy clusters."""
+"""Joins with a meaning: access rules, anti and existence joins, bands, and intervals."""
 
 from __future__ import annotations
 
-import difflib
-from collections import Counter
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,31 +65,3 @@ def first_spans(rows: DataFrame, group: list[str], start: str, end: str, share:
         return part[keep]
 
     return rows.groupBy(*group).applyInPandas(choose, rows.schema)
-
-
-def similarity_clusters(rows: DataFrame, block: Column, value: str, confidence: str, least: float = 0.85) -> DataFrame:
-    """Greedy leaders within a block: a value joins the first leader at least that similar.
-
-    Distinct values of a block (say, a type) take part, best confidence first.
-    Lengths and shared characters bound the similarity from above, so most
-    leaders are passed over without it, and none that is near.
-    """
-    values = rows.groupBy(block.alias("block"), F.col(value).alias("value")).agg(F.max(confidence).alias("best"), F.count("*").alias("mentions"))
-
-    def lead(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["best", "value"], ascending=[False, True])
-        leaders: dict[int, list[tuple[int, str, str, Counter]]] = {}  # by length
-        of = []
-        for i, v in enumerate(part["value"]):
-            low = v.lower()
-            size, held = len(low), Counter(low)
-            upper = lambda shared, other: 2.0 * shared / (size + other) if size + other else 1.0  # noqa: B023, E731
-            able = (x for n, known in leaders.items() if upper(min(size, n), n) > least for x in known if upper((held & x[3]).total(), n) > least)
-            near = next((x[1] for x in sorted(able, key=lambda x: x[0]) if difflib.SequenceMatcher(None, low, x[2]).ratio() > least), None)
-            if near is None:
-                leaders.setdefault(size, []).append((i, v, low, held))
-            of.append(v if near is None else near)
-        return part.assign(leader=of)
-
-    placed = values.groupBy("block").applyInPandas(lead, "block string, value string, best double, mentions long, leader string")
-    return placed.groupBy("block", "leader").agg(F.count("*").alias("size"), F.sum("mentions").alias("mentions"), F.array_sort(F.collect_set("value")).alias("members"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import normalized_product, normalized_specification
 from textloom.functions.vectors import trigram_similarity
-from textloom.operators import maintenance, relations, search
+from textloom.operators import clusters, maintenance, relations, search
 from textloom.plans.registry import query
 from textloom.sources.tables import load, matching
 
@@ -173,7 +173,7 @@ def convert_units(spark, folder):
 @query()
 def entity_clusters(spark, folder):
     """Greedy clusters of similar names of one type; a sequential rule, tested against plain Python."""
-    return relations.similarity_clusters(load(spark, folder, "part"), F.col("p_type"), "p_name", "p_retailprice")
+    return clusters.similarity_clusters(load(spark, folder, "part"), F.col("p_type"), "p_name", "p_retailprice")
 
 
 @query("""SELECT c_custkey, c_mktsegment, count(o_orderkey) AS n, max(o_totalprice) AS best FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'P'

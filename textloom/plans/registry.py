@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from textloom.plans import analytics, compounds, configured, documents, facts, foods, groups, knowledge, measures, questions, relational, structure, texts  # noqa: F401
+    from textloom.plans import analytics, compounds, configured, documents, facts, foods, groups, knowledge, measures, questions, relational, structure, tables, texts  # noqa: F401
 
 
 def queries() -> dict:

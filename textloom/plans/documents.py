@@ -100,27 +100,30 @@ def document_classification(spark, folder):
 _TITLES = [(i, t) for i, t in enumerate(_said(kinds.SECTIONS))]
 
 
-@query(f"SELECT id, title, {_case('lower(title)', kinds.SECTIONS, 'general')} AS section_type FROM {_values(_TITLES, 'id, title')}")
+@query(f"SELECT id, title, {_case('lower(title)', kinds.SECTIONS, 'general')} AS section_type FROM (SELECT * FROM {_values(_TITLES, 'id, title')} UNION ALL SELECT 1000 + doc_id, substr(text, 1, 60) FROM documents)")
 def section_types(spark, folder):
-    return spark.createDataFrame(_TITLES, "id long, title string").withColumn("section_type", kinds.first_of(F.col("title"), kinds.SECTIONS, "general"))
+    heads = load(spark, folder, "documents").select(1000 + F.col("doc_id"), F.substring("text", 1, 60))
+    return spark.createDataFrame(_TITLES, "id long, title string").union(heads).withColumn("section_type", kinds.first_of(F.col("title"), kinds.SECTIONS, "general"))
 
 
 _HEADS = [(i, t) for i, t in enumerate(_said(kinds.TABLES))]
 
 
-@query(f"SELECT id, headers, {_case('lower(headers)', kinds.TABLES, 'general')} AS table_type FROM {_values(_HEADS, 'id, headers')}")
+@query(f"SELECT id, headers, {_case('lower(headers)', kinds.TABLES, 'general')} AS table_type FROM (SELECT * FROM {_values(_HEADS, 'id, headers')} UNION ALL SELECT 1000 + doc_id, substr(text, 61, 60) FROM documents)")
 def table_types(spark, folder):
-    return spark.createDataFrame(_HEADS, "id long, headers string").withColumn("table_type", kinds.first_of(F.col("headers"), kinds.TABLES, "general"))
+    heads = load(spark, folder, "documents").select(1000 + F.col("doc_id"), F.substring("text", 61, 60))
+    return spark.createDataFrame(_HEADS, "id long, headers string").union(heads).withColumn("table_type", kinds.first_of(F.col("headers"), kinds.TABLES, "general"))
 
 
 _SPECS = [(i // 7, i, t, str(i), "g" if i % 3 else None) for i, t in enumerate([x for _, ts in kinds.MEASURES for x in ts] + ["other thing", ""])]
 
 
-@query(f"""WITH s AS (SELECT *, {_case('lower(parameter)', kinds.MEASURES, 'other')} AS grp FROM {_values(_SPECS, 'doc_id, place, parameter, val, unit')})
+@query(f"""WITH s AS (SELECT *, {_case('lower(parameter)', kinds.MEASURES, 'other')} AS grp FROM (SELECT * FROM {_values(_SPECS, 'doc_id, place, parameter, val, unit')} UNION ALL SELECT 1000 + p_size, p_partkey, p_name, p_size::VARCHAR, CASE WHEN p_partkey % 2 = 0 THEN 'mm' END FROM part))
     SELECT doc_id, grp, count(*) AS specs, string_agg(parameter || ': ' || val || coalesce(' ' || unit, ''), chr(10) ORDER BY place) AS told FROM s GROUP BY 1, 2""")
 def specification_groups(spark, folder):
     """Measures of a document by group, each group told as text."""
-    rows = spark.createDataFrame(_SPECS, "doc_id long, place long, parameter string, val string, unit string")
+    parts = load(spark, folder, "part").select(1000 + F.col("p_size"), "p_partkey", "p_name", F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "mm"))
+    rows = spark.createDataFrame(_SPECS, "doc_id long, place long, parameter string, val string, unit string").union(parts)
     line = F.concat(F.col("parameter"), F.lit(": "), F.col("val"), F.coalesce(F.concat(F.lit(" "), F.col("unit")), F.lit("")))
     named = rows.withColumn("grp", kinds.first_of(F.col("parameter"), kinds.MEASURES, "other")).withColumn("line", F.struct("place", line.alias("line")))
     lines = F.transform(F.array_sort(F.collect_list("line")), lambda x: x["line"])

@@ -94,10 +94,12 @@ _RIGHT = "regexp_matches(lower(x), '^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9
 _LOG = [(i, x, i % 2 == 0) for i, x in enumerate(_IDS)]
 
 
-@query(f"""SELECT id, CASE WHEN {_RIGHT.replace('x)', "regexp_replace(x, '[{}]', '', 'g'))", 1)} THEN x END AS document_id, CASE WHEN NOT {_RIGHT.replace('x)', "regexp_replace(x, '[{}]', '', 'g'))", 1)} AND x <> '' THEN x END AS kept, CASE WHEN p THEN 'v' END AS payload FROM {_values(_LOG, 'id, x, p')}""")
+@query(f"""SELECT id, CASE WHEN {_RIGHT.replace('x)', "regexp_replace(x, '[{}]', '', 'g'))", 1)} THEN x END AS document_id, CASE WHEN NOT {_RIGHT.replace('x)', "regexp_replace(x, '[{}]', '', 'g'))", 1)} AND x <> '' THEN x END AS kept, CASE WHEN p THEN 'v' END AS payload FROM (SELECT * FROM {_values(_LOG, 'id, x, p')} UNION ALL SELECT 1000 + event_id, CASE WHEN event_id % 3 = 0 THEN '123e4567-e89b-12d3-a456-' || lpad(event_id::VARCHAR, 12, '0') ELSE event_type || event_id END, event_id % 2 = 0 FROM events)""")
 def usage_log_rows(spark, folder):
     """Calls with ids of documents that are none: kept in the payload."""
-    rows = spark.createDataFrame(_LOG, "id long, document_id string, p boolean").withColumns({"user_id": F.col("id"), "request_payload": F.when(F.col("p"), F.create_map(F.lit("k"), F.lit("v")))})
+    named = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("123e4567-e89b-12d3-a456-"), F.lpad(F.col("event_id").cast("string"), 12, "0"))).otherwise(F.concat("event_type", F.col("event_id").cast("string")))
+    calls = load(spark, folder, "events").select(1000 + F.col("event_id"), named, F.col("event_id") % 2 == 0)
+    rows = spark.createDataFrame(_LOG, "id long, document_id string, p boolean").union(calls).withColumns({"user_id": F.col("id"), "request_payload": F.when(F.col("p"), F.create_map(F.lit("k"), F.lit("v")))})
     return records.usage_log(rows).select("id", "document_id", F.get(F.array(F.col("request_payload")["original_document_id"]), 0).alias("kept"), F.col("request_payload")["k"].alias("payload"))
 
 
@@ -144,7 +146,9 @@ def touched_rows(spark, folder):
 _GRANTS = [(i, r, g) for i, (r, g) in enumerate((r, g) for r in ("admin", "user", None) for g in ("read", "write", "admin", None))]
 
 
-@query(f"""SELECT id, coalesce(r = 'admin', false) OR g IS NOT NULL AS may_read, coalesce(r = 'admin', false) OR coalesce(g IN ('write', 'admin'), false) AS may_write, coalesce(r = 'admin', false) OR coalesce(g = 'admin', false) AS may_administer FROM {_values(_GRANTS, 'id, r, g')}""")
+@query(f"""SELECT id, coalesce(r = 'admin', false) OR g IS NOT NULL AS may_read, coalesce(r = 'admin', false) OR coalesce(g IN ('write', 'admin'), false) AS may_write, coalesce(r = 'admin', false) OR coalesce(g = 'admin', false) AS may_administer FROM (SELECT * FROM {_values(_GRANTS, 'id, r, g')} UNION ALL SELECT 1000 + c_custkey, CASE WHEN c_nationkey = 3 THEN 'admin' ELSE 'user' END, CASE c_nationkey % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'write' WHEN 2 THEN 'admin' END FROM customer)""")
 def access_checks(spark, folder):
-    rows = spark.createDataFrame(_GRANTS, "id long, r string, g string")
+    nation = F.col("c_nationkey")
+    more = load(spark, folder, "customer").select(1000 + F.col("c_custkey"), F.when(nation == 3, "admin").otherwise("user"), F.when(nation % 4 == 0, "read").when(nation % 4 == 1, "write").when(nation % 4 == 2, "admin"))
+    rows = spark.createDataFrame(_GRANTS, "id long, r string, g string").union(more)
     return rows.select("id", *[records.may(F.col("r"), F.col("g"), w).alias(n) for w, n in (("read", "may_read"), ("write", "may_write"), ("admin", "may_administer"))])

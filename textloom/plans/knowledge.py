@@ -100,6 +100,7 @@ def related_measures(spark, folder):
 _COUNTS = [(0, 0), (2, 0), (0, 3), (1, 1)]
 
 
-@query(f"SELECT *, CASE WHEN entities = 0 AND relations = 0 THEN 0.3 WHEN entities > 0 AND relations > 0 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence FROM {_values(_COUNTS, 'entities, relations')}")
+@query(f"SELECT *, CASE WHEN entities = 0 AND relations = 0 THEN 0.3 WHEN entities > 0 AND relations > 0 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence FROM (SELECT * FROM {_values(_COUNTS, 'entities, relations')} UNION ALL SELECT count(*) FILTER (l_returnflag = 'R'), count(*) FILTER (l_linestatus = 'F' AND l_quantity > 25) FROM lineitem GROUP BY l_orderkey)")
 def combined_confidence(spark, folder):
-    return spark.createDataFrame(_COUNTS, "entities long, relations long").withColumn("confidence", knowledge.combined_confidence(F.col("entities"), F.col("relations")))
+    met = load(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("entities"), F.count_if((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 25)).alias("relations"))
+    return spark.createDataFrame(_COUNTS, "entities long, relations long").union(met.select("entities", "relations")).withColumn("confidence", knowledge.combined_confidence(F.col("entities"), F.col("relations")))

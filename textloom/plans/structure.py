@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators import structure
@@ -25,14 +28,17 @@ def _list(x) -> str:
 _TABLE_ROWS = ", ".join(f"({i}, {_list(h)}::VARCHAR[], {_list(r)}::VARCHAR[][], {_quoted(k)}, {_quoted(c)})" for i, h, r, k, c in _TABLES)
 
 
-@query(f"""WITH t AS (SELECT * FROM (VALUES {_TABLE_ROWS}) v(id, h, r, k, c)), l AS (SELECT id, unnest(r) AS cells, unnest(range(1, len(r) + 1)) AS n FROM t),
+@query(f"""WITH t AS (SELECT * FROM (VALUES {_TABLE_ROWS}) v(id, h, r, k, c) UNION ALL SELECT 1000 + s_nationkey, ['key', 'name'], list([s_suppkey::VARCHAR, s_name] ORDER BY s_suppkey), 'general', NULL FROM supplier GROUP BY s_nationkey), l AS (SELECT id, unnest(r) AS cells, unnest(range(1, len(r) + 1)) AS n FROM t),
     b AS (SELECT id, string_agg('Row ' || n || ': ' || CASE WHEN len(cells) = len(h) THEN array_to_string(list_transform(list_zip(h, cells), lambda p: p[1] || ': ' || p[2]), '; ') ELSE array_to_string(cells, ' | ') END, chr(10) ORDER BY n) AS body FROM l JOIN t USING (id) GROUP BY id)
     SELECT id, CASE WHEN coalesce(c, '') <> '' THEN 'Table: ' || c ELSE CASE k WHEN 'specification_table' THEN 'Specification Table' WHEN 'general' THEN 'General' ELSE 'Table' END END
         || CASE WHEN len(h) > 0 AND len(r) > 0 THEN chr(10) || chr(10) || 'Headers: ' || array_to_string(h, ' | ') || chr(10) || chr(10) || 'Data:' || chr(10) || body ELSE '' END AS told,
         'Table (from markdown)' || CASE WHEN len(h) > 0 THEN chr(10) || 'Headers: ' || array_to_string(h, ' | ') ELSE '' END || CASE WHEN len(r) > 0 THEN chr(10) || 'Data:' || chr(10) || (SELECT string_agg('Row ' || n || ': ' || array_to_string(cells, ' | '), chr(10) ORDER BY n) FROM l WHERE l.id = t.id) ELSE '' END AS markdown
     FROM t LEFT JOIN b USING (id)""")
 def table_texts(spark, folder):
-    rows = spark.createDataFrame(_TABLES, "id long, h array<string>, r array<array<string>>, k string, c string")
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda s: F.array(s["s_suppkey"].cast("string"), s["s_name"]))
+    listed = load(spark, folder, "supplier").groupBy("s_nationkey").agg(cells.alias("r"))  # a table a nation
+    more = listed.select(1000 + F.col("s_nationkey"), F.array(F.lit("key"), F.lit("name")), "r", F.lit("general"), F.lit(None).cast("string"))
+    rows = spark.createDataFrame(_TABLES, "id long, h array<string>, r array<array<string>>, k string, c string").union(more)
     return rows.select("id", structure.table_text(F.col("h"), F.col("r"), F.col("k"), F.col("c")).alias("told"), structure.markdown_text(F.col("h"), F.col("r")).alias("markdown"))
 
 
@@ -60,9 +66,10 @@ def pipe_table_rows(spark, folder):
 _SAID = [(i, t) for i, t in enumerate(["5 kg of it", "pH 7", "12.5%w", "none", "3 °C then 4 m", "10mg/L", ""])]
 
 
-@query(f"SELECT id, coalesce(regexp_extract(t, '\\d+(?:\\.\\d+)?\\s*([a-zA-Z%°µ/]+)', 1), '') AS unit, length(trim(t)) > 5 AS enough FROM {_values(_SAID, 'id, t')}")
+@query(f"SELECT id, coalesce(regexp_extract(t, '\\d+(?:\\.\\d+)?\\s*([a-zA-Z%°µ/]+)', 1), '') AS unit, length(trim(t)) > 5 AS enough FROM (SELECT * FROM {_values(_SAID, 'id, t')} UNION ALL SELECT 1000 + doc_id, coalesce(text, '') FROM documents)")
 def units_after_numbers(spark, folder):
-    return spark.createDataFrame(_SAID, "id long, t string").select("id", structure.unit_after(F.col("t")).alias("unit"), structure.meaningful(F.col("t"), 5).alias("enough"))
+    rows = spark.createDataFrame(_SAID, "id long, t string").union(load(spark, folder, "documents").select(1000 + F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    return rows.select("id", structure.unit_after(F.col("t")).alias("unit"), structure.meaningful(F.col("t"), 5).alias("enough"))
 
 
 @query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 250000 GROUP BY 1")
@@ -71,9 +78,12 @@ def statement_rows(spark, folder):
     return tables.sql_rows(spark, folder, "SELECT o_orderpriority, count(*) AS n FROM {orders} WHERE o_totalprice > :least GROUP BY 1", {"least": 250000.0})
 
 
-@query("SELECT * FROM (VALUES ('nation', true), ('orders', true), ('no_such_table', false)) v(name, present)")
+@query("SELECT 'nation' AS name, true AS present, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'orders', true, (SELECT count(*) FROM orders) UNION ALL SELECT 'no_such_table', false, NULL")
 def tables_present(spark, folder):
-    return tables.present(spark, folder, ["nation", "orders", "no_such_table"])
+    """Which tables can be read, and the rows of those."""
+    found = tables.present(spark, folder, ["nation", "orders", "no_such_table"])
+    sizes = [load(spark, folder, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("nation", "orders")]
+    return found.join(reduce(DataFrame.union, sizes), "name", "left")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_name = (SELECT max(n_name) FROM nation)")

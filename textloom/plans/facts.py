@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.normalize import normalized
 from textloom.operators import answers, search, specs
+from textloom.plans.compounds import TEXTS
 from textloom.plans.registry import query
 from textloom.sources.tables import load
 
@@ -35,8 +36,9 @@ def normalize_entities(spark, folder):
 
 @query()
 def lab_specifications(spark, folder):
-    """Specifications in the documents; tested on stated texts."""
-    return specs.specifications(load(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
+    """Specifications in the documents and in texts that state every kind; tested on stated texts."""
+    rows = load(spark, folder, "documents").select("doc_id", "text").union(spark.createDataFrame(TEXTS, "doc_id long, text string"))
+    return specs.specifications(rows, "doc_id", "text")
 
 
 @query()

@@ -41,7 +41,8 @@ def question_intent(spark, folder):
 @query()
 def question_mentions(spark, folder):
     """Mentions in the turns; overlaps are settled in order, tested against stated questions."""
-    rows = _turns(spark, folder).withColumn("domain", enhance.rule_domain(F.col("text"))).withColumn("at", F.concat_ws("/", "conv_id", "turn"))
+    stated = spark.createDataFrame([(-1, 0, "Is the red widget, or a Small Ring, used with wheat and corn?"), (-1, 1, "What does the contract say of a red widget? A RED WIDGET!"), (-1, 2, None)], "conv_id long, turn long, text string")
+    rows = _turns(spark, folder).union(stated).withColumn("domain", enhance.rule_domain(F.col("text"))).withColumn("at", F.concat_ws("/", "conv_id", "turn"))
     return enhance.mentions(rows, "at", "text", "domain", {"PRODUCT": ["red widget", "small ring"]})
 
 

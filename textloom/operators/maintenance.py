@@ -35,8 +35,12 @@ def first_of(rows: DataFrame, by: list[Column], *order) -> DataFrame:
 
 
 def ingest(existing: DataFrame, arriving: DataFrame, project: str, name: str, digest: str) -> DataFrame:
-    """Arriving rows whose content the project lacks, with the next version of their name."""
-    fresh = arriving.join(existing.select(project, digest).distinct(), [project, digest], "left_anti")
+    """Arriving rows whose content the project lacks, with the next versions of their names, in order of the digests.
+
+    Of arriving rows of one content that of the least name is taken.
+    """
+    one = arriving.groupBy(project, digest).agg(F.min_by(F.struct(*arriving.columns), F.struct(name, *sorted(c for c in arriving.columns if c != name))).alias("_row")).select("_row.*")
+    fresh = one.join(existing.select(project, digest).distinct(), [project, digest], "left_anti")
     last = existing.groupBy(project, name).agg(F.max("version").alias("_last"))
     numbered = fresh.join(last, [project, name], "left").withColumn("_n", F.row_number().over(Window.partitionBy(project, name).orderBy(digest)))
     return numbered.withColumn("version", F.coalesce("_last", F.lit(0)) + F.col("_n")).drop("_last", "_n")

@@ -8,7 +8,6 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 class Embedder(Protocol):
@@ -51,8 +50,3 @@ def embedded(rows: DataFrame, text: str, provider: Embedder, batch: int = 32) ->
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", vector array<double>"
     return rows.mapInPandas(run, schema)
-
-
-def answer_confidence(context):
-    """0.9 for a context of over 100 characters, else 0.5."""
-    return F.when(F.length(context) > 100, 0.9).otherwise(0.5)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import normalized_product, normalized_specification
@@ -200,6 +200,15 @@ def positional_weights(spark, folder):
     return ranked.where("rn <= 3").select("o_orderkey", weight.alias("weight"), F.round(F.col("o_totalprice") / F.col("most"), 6).alias("relative"))
 
 
-def parameterized(spark: SparkSession, sql: str, args: dict):
-    """Raw SQL with named parameters bound by Spark, never spliced in."""
-    return spark.sql(sql, args=args)
+_NAMED = "SELECT doc_id, lang AS project, source || '/' || (doc_id % 50) AS name, md5(text) AS digest FROM documents"
+
+
+@query(f"""WITH d AS ({_NAMED}), old AS (SELECT *, row_number() OVER (PARTITION BY project, name ORDER BY doc_id) AS version FROM d WHERE doc_id % 4 <> 3),
+    one AS (SELECT project, digest, min(name) AS name FROM d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM old WHERE old.project = d.project AND old.digest = d.digest) GROUP BY 1, 2),
+    last AS (SELECT project, name, max(version) AS last FROM old GROUP BY 1, 2)
+    SELECT project, name, digest, coalesce(last, 0) + row_number() OVER (PARTITION BY project, name ORDER BY digest) AS version FROM one LEFT JOIN last USING (project, name)""")
+def ingest_versions(spark, folder):
+    """Documents that arrive beside others: known and repeated contents are left out, new ones take their name's next version."""
+    docs = load(spark, folder, "documents").select("doc_id", F.col("lang").alias("project"), F.concat("source", F.lit("/"), (F.col("doc_id") % 50).cast("string")).alias("name"), F.md5("text").alias("digest"))
+    old = docs.where("doc_id % 4 <> 3").withColumn("version", F.row_number().over(Window.partitionBy("project", "name").orderBy("doc_id")))
+    return maintenance.ingest(old, docs.where("doc_id % 2 = 1").drop("doc_id"), "project", "name", "digest")

@@ -89,20 +89,29 @@ SPACE = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
 
 def _plain(pattern: str) -> str:
     """Letters and borders of Unicode, in terms that Java and SQL share; a border takes up a character, so this only tells whether there is a match."""
-    words = pattern.replace(r"\w", r"[\pL\pN_]").replace(r"\s", SPACE)
+    pattern = pattern.replace(r"\w+(?:\s+\w+)*\s+", r"\w(?:[\w\s]*\w)?\s+")  # the same words, without a group to go back into
+    inside = {r"\w": r"\pL\pN_", r"\s": SPACE[1:-1], r"\d": r"\p{Nd}"}
+    # A class stands alone in brackets, or, within others, as what it holds.
+    words = re.sub(r"\[[^\]]*\]|\\[wsd]", lambda m: re.sub(r"\\[wsd]", lambda c: inside[c[0]], m[0] if m[0][0] == "[" else f"[{m[0]}]"), pattern)
     return re.sub(r"\\b$", r"(?:$|[^\\pL\\pN_])", re.sub(r"^\\b", r"(?:^|[^\\pL\\pN_])", words))
 
 
 def java(pattern: str, blind: bool = False) -> str:
-    return ("(?iu)" if blind else "") + _plain(pattern)
+    """For Java: no repeated group here is followed by what it could have taken, so none needs giving back, which keeps long values off the stack."""
+    return ("(?iu)" if blind else "") + _plain(pattern).replace(")*", ")*+").replace(")*++", ")*+")
 
 
 def sql(pattern: str, blind: bool = False) -> str:
     return ("(?i)" if blind else "") + _plain(pattern)
 
 
-def _any(text: Column, patterns: list[str], blind: bool = False) -> Column:
-    return text.rlike("|".join(f"(?:{_plain(p)})" for p in patterns) if not blind else "(?iu)" + "|".join(f"(?:{_plain(p)})" for p in patterns))
+def any_of(text: Column, patterns: list[str], blind: bool = False) -> Column:
+    return text.rlike("|".join(f"(?:{java(p, blind)})" for p in patterns))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at the ends; a run of it is looked at once."""
+    return F.regexp_replace(text, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def evidence(value: Column) -> dict[str, Column]:
@@ -131,13 +140,13 @@ def language_score(value: Column, expected: Column) -> Column:
     def against(wrong: str) -> Column:
         return (
             F.when(low.isin(WORDS[wrong]), 0.2)
-            .when(_any(low, PHRASES[wrong]), 0.1)
-            .when(_any(low, PATTERNS[wrong]), 0.3)
-            .when(_any(value, TRADEMARKS), 1.0)
+            .when(any_of(low, PHRASES[wrong]), 0.1)
+            .when(any_of(low, PATTERNS[wrong]), 0.3)
+            .when(any_of(value, TRADEMARKS), 1.0)
             .otherwise(0.9)
         )
 
-    french = F.when(_any(low, PHRASES["french"]), 0.1).otherwise(against("english"))
+    french = F.when(any_of(low, PHRASES["french"]), 0.1).otherwise(against("english"))
     return F.when(expected == "english", against("french")).when(expected == "french", french).otherwise(0.8)
 
 
@@ -148,8 +157,8 @@ def chemical_validity(value: Column) -> Column:
     held = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
     words = F.size(F.filter(F.split(value, f"{SPACE}+"), lambda w: w != ""))
     points = [
-        (_any(value, VALID_NAMES, True), 0.3),
-        (_any(F.regexp_replace(low, f"^{SPACE}+|{SPACE}+$", ""), INVALID_NAMES), -0.4),
+        (any_of(value, VALID_NAMES, True), 0.3),
+        (any_of(stripped(low), INVALID_NAMES), -0.4),
         (words <= 4, 0.1),
         (held(FOR), 0.2),
         (value.rlike("[®™]"), 0.2),

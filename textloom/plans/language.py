@@ -51,8 +51,12 @@ _HOLDS = lambda words: "(" + " OR ".join(f"contains(low, {_q(w)})" for w in word
 _POINT = lambda test, p: f"CASE WHEN {test} THEN {p} ELSE 0 END"
 
 
-@query(f"""SELECT k, place, v, round(greatest(0.0, least(1.0, 0.5 + {_POINT(_ANY("v", language.VALID_NAMES, True), 0.3)} - {_POINT(_ANY(f"regexp_replace(low, '^{language.SPACE}+|{language.SPACE}+$', '', 'g')", language.INVALID_NAMES), 0.4)}
+#: The validity of v, with its lower case in low.
+VALIDITY = f"""round(greatest(0.0, least(1.0, 0.5 + {_POINT(_ANY("v", language.VALID_NAMES, True), 0.3)} - {_POINT(_ANY(f"regexp_replace(low, '^{language.SPACE}+|{language.SPACE}+$', '', 'g')", language.INVALID_NAMES), 0.4)}
     + {_POINT(f"len(list_filter(regexp_split_to_array(v, '{language.SPACE}+'), lambda w: w <> '')) <= 4", 0.1)} + {_POINT(_HOLDS(language.FOR), 0.2)} + {_POINT("regexp_matches(v, '[®™]')", 0.2)}
-    + {_POINT("regexp_matches(v, '^[A-Z]')", 0.1)} - {_POINT(_HOLDS(language.AGAINST), 0.3)})), 6)::DOUBLE AS validity FROM {_V}""")
+    + {_POINT("regexp_matches(v, '^[A-Z]')", 0.1)} - {_POINT(_HOLDS(language.AGAINST), 0.3)})), 6)"""
+
+
+@query(f"SELECT k, place, v, {VALIDITY}::DOUBLE AS validity FROM {_V}")
 def chemical_validity(spark, folder):
     return _rows(spark, folder).select("k", "place", F.coalesce("v", F.lit("")).alias("v"), language.chemical_validity(F.col("v")).alias("validity"))

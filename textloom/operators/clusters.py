@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.normalize import normalized
 from textloom.sources.shared import settle
 
 
@@ -108,3 +109,35 @@ def similarity_clusters(rows: DataFrame, block: Column, value: str, confidence:
     placed = values.join(of.select("block", "name", lead["value"].alias("leader")), ["block", "name"])
     found = placed.groupBy("block", "leader").agg(F.count("*").alias("size"), F.sum("mentions").alias("mentions"), F.array_sort(F.collect_set("value")).alias("members"))
     return found.withColumn("block", F.when(F.col("block") != "", F.substr("block", F.lit(2))))
+
+
+def merged(rows: DataFrame, by: list[str], value: str, confidence: str, kind: Column, certain: Column | None = None) -> DataFrame:
+    """(by, entity_value, confidence, size, mentions): one entity for each cluster, adding up before anything is shuffled.
+
+    The surest value, of equals the smallest, stands for the cluster, written as
+    its type is; it is no surer than ``certain``, the confidence of that spelling
+    (default 1). Null values count in size alone; null confidences come last, as 0.
+    """
+    sure = F.coalesce(F.col(confidence).cast("double"), F.lit(0.0))
+    best = F.min(F.when(F.col(value).isNotNull(), F.struct((-sure).alias("c"), F.col(value).alias("v"), kind.alias("k"), (F.lit(1.0) if certain is None else certain).alias("s"))))
+    found = rows.groupBy(*by).agg(best.alias("b"), F.count("*").alias("size"), F.count_distinct(value).alias("mentions"))
+    return found.select(*by, normalized(F.col("b.v"), F.col("b.k")).alias("entity_value"), F.least(-F.col("b.c"), F.col("b.s")).alias("confidence"), "size", "mentions")
+
+
+def merged_lists(rows: DataFrame, by: list[str], value: str, metadata: str) -> DataFrame:
+    """(by, key, value, times): a cluster's metadata of maps of lists, list by list, and its values as original_mentions.
+
+    Each distinct value is a row with how often it was listed, so that the lists
+    of a cluster of any size are added up by parts. Null maps and lists are empty;
+    null members are values.
+    """
+    own = F.map_filter(F.coalesce(metadata, F.create_map().cast("map<string,array<string>>")), lambda k, v: k != "original_mentions")
+    listed = F.map_concat(own, F.create_map(F.lit("original_mentions"), F.filter(F.array(F.col(value).cast("string")), lambda v: v.isNotNull())))
+    each = rows.select(*by, F.explode(listed).alias("key", "_l")).select(*by, "key", F.explode("_l").alias("value"))
+    return each.groupBy(*by, "key", "value").agg(F.count("*").alias("times"))
+
+
+def as_maps(lists: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metadata): merged_lists() as one map of lists of distinct values a cluster; such a row holds all of a cluster's values."""
+    kept = lists.groupBy(*by, "key").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    return kept.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "values")))).alias("metadata"))

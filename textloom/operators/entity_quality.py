@@ -234,7 +234,9 @@ def context_score(value: Column, context: Column, document_type: Column) -> Colu
 def compound_pattern(value: Column) -> Column:
     """The first of COMPOUNDS that the value holds, null if none."""
     value = F.coalesce(value, F.lit(""))
-    return F.coalesce(*[F.when(value.rlike(language.java(anywhere(p))), F.lit(p)) for p in COMPOUNDS])
+    digit = value.rlike(language.java(r"\d"))  # what a pattern with a digit must hold, tested once
+    held = lambda p: value.rlike(language.java(anywhere(p)))
+    return F.coalesce(*[F.when(digit & held(p) if r"\d" in p else held(p), F.lit(p)) for p in COMPOUNDS])
 
 
 def assessed(rows: DataFrame, value: str, kind: str, confidence: str, context: str, document_type: Column, expected: Column) -> DataFrame:

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from textloom.plans import analytics, compounds, configured, documents, entity_quality, facts, foods, groups, knowledge, language, measures, merging, questions, relational, structure, tables, texts  # noqa: F401
+    from textloom.plans import analytics, called, compounds, configured, documents, entity_quality, facts, foods, groups, knowledge, language, measures, merging, questions, relational, structure, tables, texts  # noqa: F401
 
 
 def queries() -> dict:

@@ -207,7 +207,7 @@ def semantic_score(value: Column, kind: Column) -> Column:
     points += [(language.any_of(low, [ended(p) for p in patterns]), -loss) for loss, patterns in NOISE.values()]
     points += [((kind == "CHEMICAL_COMPOUND") & (language.chemical_validity(value) < 0.3), -0.3), (_words(value) > 8, -0.2)]
     points += [(F.length(value) - F.length(F.replace(value, F.lit(" "), F.lit(""))) > 6, -0.2)]
-    points += [(language.any_of(low, [p]), -0.3) for p in OPEN_ENDS]
+    points += [(language.any_of(F.right(low, F.lit(20)), [p]), -0.3) for p in OPEN_ENDS]  # longer than any of the words and what borders it
     score = sum((F.when(test, p).otherwise(0.0) for test, p in points), F.lit(0.5))
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
 
@@ -235,8 +235,18 @@ def compound_pattern(value: Column) -> Column:
     """The first of COMPOUNDS that the value holds, null if none."""
     value = F.coalesce(value, F.lit(""))
     digit = value.rlike(language.java(r"\d"))  # what a pattern with a digit must hold, tested once
-    held = lambda p: value.rlike(language.java(anywhere(p)))
-    return F.coalesce(*[F.when(digit & held(p) if r"\d" in p else held(p), F.lit(p)) for p in COMPOUNDS])
+    marked = value.rlike("[®™]")
+
+    def held(p: str) -> Column:
+        test = value.rlike(language.java(anywhere(p)))
+        if r"\d" in p:
+            return digit & test
+        if p.startswith("[A-Z]{3,}"):
+            return marked & test
+        first = re.match(r"\w{3,}", p)  # a literal that it begins with is looked for first
+        return F.contains(value, F.lit(first[0])) & test if first else test
+
+    return F.coalesce(*[F.when(held(p), F.lit(p)) for p in COMPOUNDS])
 
 
 def assessed(rows: DataFrame, value: str, kind: str, confidence: str, context: str, document_type: Column, expected: Column) -> DataFrame:

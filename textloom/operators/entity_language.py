@@ -115,8 +115,9 @@ def any_of(text: Column, patterns: list[str], blind: bool = False) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    """Without white space at the ends; a run of it is looked at once."""
-    return F.regexp_replace(text, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
+    """Without white space at the ends; a run of it is looked at once, and only where one of the ends is some."""
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(ends.rlike(SPACE), F.regexp_replace(text, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")).otherwise(text)
 
 
 def evidence(value: Column) -> dict[str, Column]:

@@ -196,7 +196,7 @@ def anywhere(pattern: str) -> str:
 
 
 def _words(value: Column) -> Column:
-    return F.size(F.filter(F.split(value, f"{SPACE}+"), lambda w: w != ""))
+    return F.regexp_count(value, F.lit(f"[^{SPACE[1:-1]}]+"))
 
 
 def semantic_score(value: Column, kind: Column) -> Column:

@@ -72,6 +72,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it's sorted and merged, never gathered in the driver to be broadcast."""
+    return df.hint("merge")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: df's rows, written once to the shared folder."""
     shared_dir(df.sparkSession)

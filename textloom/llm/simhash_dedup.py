@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import documents_of, map_batches, stored
+from .frames import documents_of, map_batches, shuffled, stored
 
 BITS, REACH = 64, 2
 
@@ -77,7 +77,7 @@ def links(fps: DataFrame, bucket: int = 48) -> DataFrame:
     """(a, b): pairs of distinct fingerprints within reach, some more than once."""
     variants = _variants(fps)
     sizes = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = variants.join(sizes, "key")
+    shared = variants.join(shuffled(sizes), "key")
     small = _pairs(shared.where(F.col("n") <= bucket), "key")
     crowded = shared.where(F.col("n") > bucket).select("fp").distinct()
     return small.union(_pairs(_fine_variants(crowded), "mask", "key"))
@@ -96,8 +96,8 @@ def group(docs: DataFrame, bucket: int = 48, task_fps: int = 16_384, with_hash:
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     tasks = max(1, math.ceil(nodes.count() / task_fps))
     roots = components(links(nodes.select("fp").repartition(tasks, "fp"), bucket), "a", "b").withColumnsRenamed({"node": "fp"})
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = nodes.join(shuffled(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = placed.join(best, "root").select("fp", "component_id", F.col("root").alias("group"))
+    found = placed.join(shuffled(best), "root").select("fp", "component_id", F.col("root").alias("group"))
     more = ["text_hash", "group"] if with_hash else []
-    return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *more)
+    return fps.join(shuffled(found), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *more)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, packing, secret_scan, simhash_dedup, toxicity
-from textloom.llm.frames import discard, stored, table
+from textloom.llm.frames import discard, shuffled, stored, table
 
 
 def _marked(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     each = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))  # ids and hashes alone
     best = each.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("best"))
     kept = best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"), F.col("best.n").alias("_n"))
-    joined = rows.join(kept, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    joined = rows.join(shuffled(kept), F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
     # Rows are combined only where the kept one is repeated.
     repeated = joined.where("_n > 1").dropDuplicates(["_d", "_h"])
     return joined.where("_n = 1").select(*names).union(repeated.select(*names)).toDF(*docs.columns)
@@ -47,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows, names = _marked(docs)
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
     out = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return rows.join(out, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_anti").select(*names).toDF(*docs.columns)
+    return rows.join(shuffled(out), F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_anti").select(*names).toDF(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def total(cost: Column) -> Column:
+    """The sum of costs, an aggregate: exact, whatever the order of rows, where all have twelve decimals at most and fit; else a sum of doubles."""
+    exact = cost.try_cast("decimal(38,12)")
+    fits = F.bool_and(cost.isNull() | F.coalesce(exact.cast("double") == cost, F.lit(False)))
+    return F.coalesce(F.when(fits, F.try_sum(exact)).cast("double"), F.sum(cost))
+
+
 def _first(model: Column, prices: list[tuple], at: int) -> Column:
     """What the first price whose name the model contains has at a place; null without one."""
     return F.coalesce(*[F.when(F.contains(model, F.lit(p[1])), F.lit(float(p[at]))) for p in sorted(prices)], F.lit(None).cast("double"))

@@ -68,12 +68,14 @@ def usage_totals(spark, folder):
     CASE WHEN avg(value) < 20 AND avg({_TOKENS}) >= 50 THEN 'optimal' WHEN avg(value) < 20 THEN 'cheap' WHEN avg({_TOKENS}) >= 50 THEN 'costly' ELSE 'review' END AS recommendation
     FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY GROUP BY event_type, user_id HAVING count(*) >= 5""")
 def cost_efficiency(spark, folder):
-    """Quality per cost of the last week, groups of five calls or more."""
+    """Quality per cost of the last week, groups of five calls or more; costs are summed exactly, so that ties don't hang on the order of rows."""
     recent = _events(spark, folder).where(F.col("ts") >= F.lit(NOW).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAY"))
-    good, cheap = F.avg("tokens") >= 50, F.avg("value") < 20
+    spent, known = cost.total(F.col("value")), F.count("value")
+    good, cheap = F.avg("tokens") >= 50, spent < 20 * known
+    efficiency = F.try_divide(F.sum("tokens"), spent * 1000) * F.try_divide(known, F.count("tokens"))
     groups = recent.groupBy("event_type", "user_id").agg(
         F.count("*").alias("calls"),
-        F.round(F.try_divide(F.avg("tokens"), F.avg("value") * 1000), 6).alias("efficiency"),
+        F.round(efficiency, 6).alias("efficiency"),
         F.when(cheap & good, "optimal").when(cheap, "cheap").when(good, "costly").otherwise("review").alias("recommendation"),
     )
     return groups.where("calls >= 5")

@@ -107,13 +107,22 @@ def _grams(text: Column) -> Column:
 
 
 def candidates(questions: DataFrame, key: str, terms: str, entities: DataFrame, value: str, order: list[Column], per_term: int = 20, most: int = 50) -> DataFrame:
-    """Entities whose value contains a term, whatever the case: the best of each term, once each, the first of each question.
+    """Entities whose value contains a term, whatever the case: the best of each term, once each, the first of each question."""
+    return candidate_lists(questions, key, terms, entities, value, order, per_term, most).select(key, F.inline("candidates"))
+
+
+def candidate_lists(questions: DataFrame, key: str, terms: str, entities: DataFrame, value: str, order: list[Column], per_term: int = 20, most: int = 50) -> DataFrame:
+    """key, candidates: the rows of candidates() as one array for each question that has any.
 
     Containment is an equality join on the term's rarest three characters, then
-    checked, and each distinct term is looked up once. ``order`` must decide
-    every tie. Terms of fewer than three characters find nothing.
+    checked; each distinct term is looked up once, and each distinct list of
+    terms is answered once, so that a frequent term's questions never meet its
+    entities in one task. ``order`` must decide every tie. Terms of fewer than
+    three characters find nothing.
     """
-    asked = questions.select(key, F.posexplode(terms).alias("term_place", "_term")).withColumn("_term", F.lower("_term"))
+    numbered = F.transform(terms, lambda t, i: F.struct(i.alias("term_place"), F.lower(t).alias("_term")))
+    every = questions.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(numbered))).alias("_asked"))
+    asked = every.select("_asked").distinct().select("_asked", F.inline("_asked"))
     named = entities.withColumn("_low", F.lower(value))
     index = named.where(F.length("_low") >= 3).select("_low", F.explode(_grams(F.col("_low"))).alias("_gram")).distinct()
     sizes = index.groupBy("_gram").agg(F.count("*").alias("_n"))
@@ -122,9 +131,10 @@ def candidates(questions: DataFrame, key: str, terms: str, entities: DataFrame,
     found = rarest.join(index, "_gram").where(F.contains("_low", F.col("_term"))).select("_term", "_low").join(named, "_low")
     best = found.withColumn("term_rank", F.row_number().over(Window.partitionBy("_term").orderBy(*order))).where(F.col("term_rank") <= per_term)
     own = asked.join(best, "_term")
-    first = own.withColumn("_first", F.row_number().over(Window.partitionBy(key, "_low").orderBy("term_place", "term_rank"))).where("_first = 1")
-    placed = first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("term_place", "term_rank")))
-    return placed.where(F.col("place") <= most).drop("_term", "_low", "_first", "term_place", "term_rank")
+    first = own.withColumn("_first", F.row_number().over(Window.partitionBy("_asked", "_low").orderBy("term_place", "term_rank"))).where("_first = 1")
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("_asked").orderBy("term_place", "term_rank"))).where(F.col("place") <= most)
+    lists = placed.groupBy("_asked").agg(F.collect_list(F.struct(*entities.columns, "place")).alias("candidates"))
+    return every.join(lists, "_asked").select(key, "candidates")
 
 
 @F.pandas_udf(T.DoubleType())

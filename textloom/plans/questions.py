@@ -58,7 +58,8 @@ def _questions(spark, folder):
 
 
 def _found(spark, folder):
-    return enhance.candidates(_questions(spark, folder), "p_partkey", "terms", _entities(spark, folder), "p_name", [F.desc("confidence"), F.asc("p_name")])
+    """An array of candidates for each question."""
+    return enhance.candidate_lists(_questions(spark, folder), "p_partkey", "terms", _entities(spark, folder), "p_name", [F.desc("confidence"), F.asc("p_name")])
 
 
 _FOUND = """e AS (SELECT p_name, max(p_size) AS confidence, count(*) AS frequency, min(p_type) AS kind FROM part GROUP BY 1),
@@ -71,12 +72,12 @@ _FOUND = """e AS (SELECT p_name, max(p_size) AS confidence, count(*) AS frequenc
 
 @query(f"WITH {_FOUND} SELECT p_partkey, p_name, place FROM c")
 def entity_candidates(spark, folder):
-    return _found(spark, folder).select("p_partkey", "p_name", "place")
+    return _found(spark, folder).select("p_partkey", F.inline("candidates")).select("p_partkey", "p_name", "place")
 
 
 def _scored(spark, folder):
     texts = enhance.with_intents(_questions(spark, folder), "text").select("p_partkey", "text", "intent")
-    pairs = _found(spark, folder).join(texts, "p_partkey").withColumn("context", F.concat_ws(" ", F.lit("corn and"), "p_name"))
+    pairs = _found(spark, folder).join(texts, "p_partkey").select("p_partkey", "text", "intent", F.inline("candidates")).withColumn("context", F.concat_ws(" ", F.lit("corn and"), "p_name"))
     return enhance.match_scores(pairs, "text", "intent", "p_name", "kind", "context", "share")
 
 

@@ -35,7 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = simhash_dedup.group(docs, with_hash=True)
     each = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))  # ids and hashes alone
     best = each.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("best"))
-    kept = best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"), F.col("best.n").alias("_n"))
+    # Written first: the join is used twice, and neither plan should hold the search for groups as well.
+    kept = stored(best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"), F.col("best.n").alias("_n")), "kept")
     joined = rows.join(shuffled(kept), F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
     # Rows are combined only where the kept one is repeated.
     repeated = joined.where("_n > 1").dropDuplicates(["_d", "_h"])

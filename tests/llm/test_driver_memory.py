@@ -1,10 +1,13 @@
 """Tables that grow with the input are merged, not gathered in the driver to be broadcast."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textloom.llm import components, simhash_dedup
+from textloom.llm import components, simhash_dedup, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +36,29 @@ def test_components_broadcast_nothing(spark):
 
 def test_near_copies_of_pipeline_broadcast_nothing(spark, docs):
     assert not gathered(corpus_pipeline.drop_near_copies(spark, docs, ""))
+
+
+def test_near_copies_of_pipeline_have_a_short_plan(spark, docs):
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert "MapInArrow" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert len(kept._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("|").split("|")) <= 4
+
+
+def test_training_holds_one_step_of_bags(spark, monkeypatch):
+    """While training runs, the bags are on disk, each as it was made and in the order of ids."""
+    rng = random.Random(4)
+    texts = {i: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(200)) for i in range(400)}
+    seen = {}
+
+    def train(bags, toxic, *rest):
+        seen.update(n=len(bags), held=pa.total_allocated_bytes() - before, first=bags[0], last=bags[len(bags) - 1], toxic=toxic.tolist(), size=sum(8 * len(bags[i][0]) for i in range(len(bags))))
+
+    monkeypatch.setattr(toxicity, "train", train)
+    before = pa.total_allocated_bytes()
+    marked = spark.createDataFrame([(i, i % 3 % 2) for i in texts], "doc_id long, toxic int")
+    toxicity.fit(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), marked, buckets=1 << 17)
+    ids = sorted(r["doc_id"] for r in marked.where(~toxicity.held_out(F.col("doc_id"))).collect())
+    assert seen["n"] == 2 * len(ids) and seen["toxic"] == [i % 3 % 2 for i in ids for _ in "ab"]
+    assert seen["held"] < seen["size"] / 10
+    for got, text in ((seen["first"], texts[ids[0]]), (seen["last"], toxicity.misspelt(texts[ids[-1]]))):
+        assert all((a == b).all() for a, b in zip(got, toxicity.bag(text, 1 << 17)))

@@ -9,8 +9,9 @@ linear after averaging, each bucket then has one number, each word the mean of
 its buckets', and scoring a text is one lookup per word.
 
 Training takes at most ``per_class`` labelled rows of each class, the least by
-hash of doc_id; that bound and ``buckets`` bound the driver's memory, and the
-prior of the labelled rows is put back afterwards. Every text is scored whole;
+hash of doc_id; their bags wait on the driver's disk, which that bound and
+``buckets`` bound, and memory holds those of one step. The prior of the labelled
+rows is put back afterwards. Every text is scored whole;
 n-grams are worked out in blocks of many words, or of a part of a long one (a
 text without white space is one), which bound their memory.
 
@@ -25,11 +26,13 @@ rows; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import random
+import tempfile
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -44,6 +47,8 @@ SHORTEST, LONGEST = 3, 5
 BLOCK, MOST_GRAMS = 1 << 16, 1 << 18
 #: Texts are scored about so many characters at a time; words of KEPT_CHARS or more are worked out each time.
 GROUP_CHARS, KEPT_CHARS = 1 << 20, 64
+#: Bags are fetched about so many at a time.
+FETCHED = 128
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _STRIP = ".,;:!?|()[]\"'"
 _CRC = np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], dtype=np.uint32)
@@ -149,7 +154,36 @@ class Model(NamedTuple):
     bias: float
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, prior: float, buckets: int, dim: int = 8, epochs: int = 12, batch: int = 32, rate: float = 0.3, scale: float = 60.0, decay: float = 1e-4, seed: int = 7) -> Model:
+class Spool:
+    """Bags on the driver's disk, of which memory holds those being read; closed, the file is gone."""
+
+    def __init__(self):
+        self._file = tempfile.TemporaryFile()
+        self._places: list[tuple[int, int]] = []
+        self._end = 0
+
+    def append(self, packed: bytes) -> None:
+        """A bag as its buckets' bytes and then its weights', four each."""
+        self._places.append((self._end, len(packed)))
+        self._end += self._file.write(packed)
+
+    def __len__(self) -> int:
+        return len(self._places)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        start, size = self._places[i]
+        self._file.seek(start)
+        raw = self._file.read(size)
+        return np.frombuffer(raw, np.int32, size // 8), np.frombuffer(raw, np.float32, size // 8, size // 2)
+
+    def arrange(self, order: Iterable[int]) -> None:
+        self._places = [self._places[i] for i in order]
+
+    def close(self) -> None:
+        self._file.close()
+
+
+def train(bags: Sequence[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, prior: float, buckets: int, dim: int = 8, epochs: int = 12, batch: int = 32, rate: float = 0.3, scale: float = 60.0, decay: float = 1e-4, seed: int = 7) -> Model:
     """Adagrad on the softmax loss; averages over hundreds of words are small, so inputs are scaled up."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
@@ -162,9 +196,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, prior: f
         order = rng.permutation(len(bags))
         for low in range(0, len(order), batch):
             rows = order[low : low + batch]
-            at = np.concatenate([bags[r][0] for r in rows])
-            weight = np.concatenate([bags[r][1] for r in rows]) * scale
-            of = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
+            read = [bags[r] for r in rows]
+            at = np.concatenate([b[0] for b in read])
+            weight = np.concatenate([b[1] for b in read]) * scale
+            of = np.repeat(np.arange(len(rows)), [len(b[0]) for b in read])
             used, place = np.unique(at, return_inverse=True)
             own = vectors[used]
             mean = np.stack([np.bincount(of, weight * own[place, k], len(rows)) for k in range(dim)], axis=1).astype(np.float32)
@@ -204,24 +239,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, buckets: int
     def bags(cols: dict) -> dict:
         found = [bag(x, buckets) for t in cols["text"] for x in (t, misspelt(t))]
         twice = lambda c: [x for x in cols[c] for _ in "ab"]
-        return {"doc_id": twice("doc_id"), "toxic": twice("toxic"), "copy": [0, 1] * len(cols["text"]), "bucket": [f[0] for f in found], "weight": [f[1] for f in found]}
-
-    found = map_batches(texts, bags, "doc_id long, toxic int, copy int, bucket array<int>, weight array<float>").toArrow()
-    order = np.lexsort((found["copy"].to_numpy(), found["doc_id"].to_numpy()))
-    toxic = found["toxic"].to_numpy().astype(np.int64)[order]
-    if len(set(toxic.tolist())) < 2:
-        return Model(np.zeros(buckets, np.float32), math.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
-    at, weight = _views(found["bucket"]), _views(found["weight"])
-    return train([(at[i], weight[i]) for i in order], toxic, prior, buckets)
-
-
-def _views(lists: pa.ChunkedArray) -> list[np.ndarray]:
-    """The lists of a column without a copy."""
-    out = []
-    for chunk in lists.chunks:
-        values, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
-        out += [values[a:b] for a, b in zip(ends, ends[1:])]
-    return out
+        return {"doc_id": twice("doc_id"), "toxic": twice("toxic"), "copy": [0, 1] * len(cols["text"]), "bag": [b.tobytes() + w.tobytes() for b, w in found]}
+
+    found = map_batches(texts, bags, "doc_id long, toxic int, copy int, bag binary")
+    rows_of = []
+    with contextlib.closing(Spool()) as spool:
+        # About FETCHED bags a partition: the driver has one partition at a time, not all bags.
+        for r in found.repartition(math.ceil(4 * per_class / FETCHED), "doc_id", "copy").toLocalIterator():
+            rows_of.append((r["doc_id"], r["copy"], r["toxic"]))
+            spool.append(r["bag"])
+        order = sorted(range(len(rows_of)), key=rows_of.__getitem__)
+        toxic = np.array([rows_of[i][2] for i in order], dtype=np.int64)
+        if len(set(toxic.tolist())) < 2:
+            return Model(np.zeros(buckets, np.float32), math.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
+        spool.arrange(order)
+        return train(spool, toxic, prior, buckets)
 
 
 class _Scorer(dict):

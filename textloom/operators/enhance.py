@@ -120,8 +120,18 @@ def candidate_lists(questions: DataFrame, key: str, terms: str, entities: DataFr
     entities in one task. ``order`` must decide every tie. Terms of fewer than
     three characters find nothing.
     """
+    every = asked_terms(questions, key, terms)
+    return every.join(answers(every, entities, value, order, per_term, most), "_asked").select(key, "candidates")
+
+
+def asked_terms(questions: DataFrame, key: str, terms: str) -> DataFrame:
+    """key, _asked: the terms of each question in lower case with their places, sorted."""
     numbered = F.transform(terms, lambda t, i: F.struct(i.alias("term_place"), F.lower(t).alias("_term")))
-    every = questions.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(numbered))).alias("_asked"))
+    return questions.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(numbered))).alias("_asked"))
+
+
+def answers(every: DataFrame, entities: DataFrame, value: str, order: list[Column], per_term: int = 20, most: int = 50) -> DataFrame:
+    """_asked, candidates: one row for each distinct list of terms that finds any."""
     asked = every.select("_asked").distinct().select("_asked", F.inline("_asked"))
     named = entities.withColumn("_low", F.lower(value))
     index = named.where(F.length("_low") >= 3).select("_low", F.explode(_grams(F.col("_low"))).alias("_gram")).distinct()
@@ -133,8 +143,7 @@ def candidate_lists(questions: DataFrame, key: str, terms: str, entities: DataFr
     own = asked.join(best, "_term")
     first = own.withColumn("_first", F.row_number().over(Window.partitionBy("_asked", "_low").orderBy("term_place", "term_rank"))).where("_first = 1")
     placed = first.withColumn("place", F.row_number().over(Window.partitionBy("_asked").orderBy("term_place", "term_rank"))).where(F.col("place") <= most)
-    lists = placed.groupBy("_asked").agg(F.collect_list(F.struct(*entities.columns, "place")).alias("candidates"))
-    return every.join(lists, "_asked").select(key, "candidates")
+    return placed.groupBy("_asked").agg(F.collect_list(F.struct(*entities.columns, "place")).alias("candidates"))
 
 
 @F.pandas_udf(T.DoubleType())

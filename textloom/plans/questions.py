@@ -57,9 +57,12 @@ def _questions(spark, folder):
     return load(spark, folder, "part").select("p_partkey", text.alias("text"), enhance.search_terms(F.array(F.col("p_name")), F.col("p_name")).alias("terms"))
 
 
+_ORDER = lambda: [F.desc("confidence"), F.asc("p_name")]
+
+
 def _found(spark, folder):
     """An array of candidates for each question."""
-    return enhance.candidate_lists(_questions(spark, folder), "p_partkey", "terms", _entities(spark, folder), "p_name", [F.desc("confidence"), F.asc("p_name")])
+    return enhance.candidate_lists(_questions(spark, folder), "p_partkey", "terms", _entities(spark, folder), "p_name", _ORDER())
 
 
 _FOUND = """e AS (SELECT p_name, max(p_size) AS confidence, count(*) AS frequency, min(p_type) AS kind FROM part GROUP BY 1),
@@ -76,25 +79,40 @@ def entity_candidates(spark, folder):
 
 
 def _scored(spark, folder):
-    texts = enhance.with_intents(_questions(spark, folder), "text").select("p_partkey", "text", "intent")
-    pairs = _found(spark, folder).join(texts, "p_partkey").select("p_partkey", "text", "intent", F.inline("candidates")).withColumn("context", F.concat_ws(" ", F.lit("corn and"), "p_name"))
-    return enhance.match_scores(pairs, "text", "intent", "p_name", "kind", "context", "share")
+    """Questions with their text and terms, and the scored candidates of each distinct pair of these: no list of candidates goes with a question."""
+    questions = _questions(spark, folder)
+    every = enhance.asked_terms(questions, "p_partkey", "terms")
+    asking = questions.select("p_partkey", "text").join(every, "p_partkey")
+    texts = enhance.with_intents(asking.select("text", "_asked").distinct(), "text").select("text", "_asked", "intent")
+    lists = enhance.answers(every, _entities(spark, folder), "p_name", _ORDER())
+    pairs = texts.join(lists, "_asked").select("text", "_asked", "intent", F.inline("candidates")).withColumn("context", F.concat_ws(" ", F.lit("corn and"), "p_name"))
+    return asking, enhance.match_scores(pairs, "text", "intent", "p_name", "kind", "context", "share")
+
+
+def _told(asking, answered):
+    """What was answered, for each question that asks it."""
+    asked = answered.withColumnsRenamed({"text": "_said", "_asked": "_sought"})
+    return asking.join(asked, F.col("text").eqNullSafe(F.col("_said")) & (F.col("_asked") == F.col("_sought")))
 
 
 @query()
 def entity_match_scores(spark, folder):
     """Scores of candidate entities; the sequence ratio isn't expressible in SQL, tested against plain Python."""
-    return _scored(spark, folder).select("p_partkey", "p_name", "score", "reason")
+    asking, scored = _scored(spark, folder)
+    return _told(asking, scored.select("text", "_asked", "p_name", "score", "reason")).select("p_partkey", "p_name", "score", "reason")
 
 
 @query()
 def enhanced_questions(spark, folder):
     """Questions with their best matches, expansion terms and confidence; tested on stated rows."""
-    best = enhance.best_matches(_scored(spark, folder), ["p_partkey", "text", "intent"], "p_name", "kind")
+    asking, scored = _scored(spark, folder)
+    best = enhance.best_matches(scored, ["text", "_asked", "intent"], "p_name", "kind")
     domain = enhance.rule_domain(F.col("text"))
-    return best.select(
-        "p_partkey",
+    made = best.select(
+        "text",
+        "_asked",
         enhance.enhanced_text(F.col("text"), F.col("matches")).alias("enhanced"),
         F.array_join(enhance.expansion_terms(domain, F.col("intent"), F.col("matches")), ", ").alias("terms"),
         enhance.enhancement_confidence(F.col("matches")).alias("confidence"),
     )
+    return _told(asking.distinct(), made).select("p_partkey", "enhanced", "terms", "confidence")

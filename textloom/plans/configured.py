@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import configured, entity_config
 from textloom.plans.registry import query
-from textloom.sources.tables import load
+from textloom.sources.tables import dealt, load
 
 TEXTS = [
     (-1, "GLYCOLYS® sodium starch glycolate, CAS: 9063-38-1, EINECS 618-430-8, pH: 5.5 and 10 % moisture; specification value 25 °C, 5 kPa, 3 cP, 20 mg"),
@@ -30,7 +30,7 @@ TEXTS = [
 
 
 def _rows(spark, folder):
-    return load(spark, folder, "documents").select("doc_id", "text").union(spark.createDataFrame(TEXTS, "doc_id long, text string"))
+    return dealt(load(spark, folder, "documents").select("doc_id", "text")).union(spark.createDataFrame(TEXTS, "doc_id long, text string"))
 
 
 @query()

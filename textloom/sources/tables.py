@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,11 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df dealt out over a task for about so many rows: costly work on a file that can't be split is then no single task's."""
+    return df.repartition(max(1, math.ceil(df.count() / rows)), *df.columns)
+
+
 def matching(params: dict) -> Column:
     """A predicate from a dict: lists mean membership, other values equality; None means no filter."""
     tests = [F.col(k).isin(list(v)) if isinstance(v, (list, tuple, set)) else F.col(k) == v for k, v in params.items() if v is not None]

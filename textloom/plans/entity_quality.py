@@ -10,7 +10,7 @@ from textloom.operators.measures import estimated
 from textloom.plans import language
 from textloom.plans.language import _q
 from textloom.plans.registry import query
-from textloom.sources.tables import load
+from textloom.sources.tables import dealt, load
 
 KINDS = ["CHEMICAL_COMPOUND", "PRODUCT", "SPECIFICATION", "APPLICATION", "other"]
 #: A context for each document type; the next kind's type is tried with it too.
@@ -27,11 +27,11 @@ _S = "id long, v string, kind string, confidence double, context string, documen
 
 
 def _rows(spark, folder):
-    parts = load(spark, folder, "part")
+    parts = dealt(load(spark, folder, "part").select("p_partkey", "p_name", "p_type", "p_size"), 20_000)
     at = lambda i, n: F.get(F.array(*[F.lit(c[n]) for c in CONTEXTS]), F.pmod(i, F.lit(5)).cast("int"))
     kind = lambda i: F.get(F.array(*map(F.lit, KINDS)), F.pmod(i, F.lit(5)).cast("int"))
     named = parts.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("v"), kind(F.col("p_partkey")).alias("kind"), (F.col("p_size") / 50).alias("confidence"), F.concat_ws(" ", "p_type", "p_name").alias("context"), at(F.col("p_size"), 0).alias("document_type"))
-    docs = load(spark, folder, "documents")
+    docs = dealt(load(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
     said = docs.select(F.col("doc_id").alias("id"), F.explode(F.split("text", "[.\\n]")).alias("v"), F.col("lang").alias("kind"), F.lit(None).cast("double").alias("confidence"), F.col("source").alias("context"), F.lit("technical").alias("document_type"))
     return named.union(said).union(spark.createDataFrame(STATED, _S))
 
